@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, language, secrets
 
 #: The rank file of op9.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,7 +21,19 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, language.learnt_from("doc_id", 3, 1))
+    return language.identify(docs, model).select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secrets": op3_secrets,
+    "op6_language_id": op6_language_id,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
