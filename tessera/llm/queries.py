@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, secrets
+from . import byte_bpe, language, secrets, simhash
 
 #: The rank file of op9.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -31,9 +31,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.group(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op6_language_id": op6_language_id,
+    "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
