@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, language, secrets, simhash, topk, warc
+from . import byte_bpe, html, language, secrets, simhash, topk, warc
 
 #: The rank file of op9.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -29,6 +29,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.lengths(html.extract(table(spark, sf_dir, "pages")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, language.learnt_from("doc_id", 3, 1))
@@ -46,6 +50,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
+    "op5_html": op5_html,
     "op6_language_id": op6_language_id,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
