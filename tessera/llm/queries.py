@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, html, language, secrets, simhash, topk, warc
+from . import byte_bpe, html, language, pii, secrets, simhash, topk, warc
 
+#: The surrogates' key; a deployment passes its own secret one to ``pii.pseudonymise``.
+KEY = b"tessera surrogates"
 #: The rank file of op9.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -39,6 +41,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    number = lambda kind: F.coalesce(F.col("entities")[kind], F.lit(0)).alias(f"n_{kind}")
+    return done.select("doc_id", "text", *[number(k) for k in pii.KINDS])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(simhash.group(table(spark, sf_dir, "documents")))
 
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_html": op5_html,
     "op6_language_id": op6_language_id,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
