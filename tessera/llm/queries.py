@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, html, language, pii, secrets, simhash, topk, warc
+from . import byte_bpe, decontaminate, html, language, pii, secrets, simhash, topk, warc
 
 #: The surrogates' key; a deployment passes its own secret one to ``pii.pseudonymise``.
 KEY = b"tessera surrogates"
@@ -23,6 +23,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -56,6 +60,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
     "op5_html": op5_html,
