@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, html, language, pii, secrets, simhash, topk, warc
+from . import byte_bpe, decontaminate, html, language, lm, pii, secrets, simhash, topk, warc
 
 #: The surrogates' key; a deployment passes its own secret one to ``pii.pseudonymise``.
 KEY = b"tessera surrogates"
@@ -27,6 +27,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("digest")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = language.learnt_from("doc_id", 7, 2)
+    counted = lm.counts(docs.where(learn))
+    scored = lm.score(docs, lm.fit(docs, counted, learn), counted)
+    return scored.select("doc_id", language.held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -61,6 +69,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_score": op2_lm_score,
     "op3_secrets": op3_secrets,
     "op4_warc": op4_warc,
     "op5_html": op5_html,
