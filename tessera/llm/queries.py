@@ -13,6 +13,7 @@ from . import byte_bpe, decontaminate, html, language, lm, pii, secrets, simhash
 KEY = b"tessera surrogates"
 #: The rank file of op9.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
+    return byte_bpe.digests(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
