@@ -1,0 +1 @@
+"""Item-based recommendation analytics, and corpus operators, on Spark."""
