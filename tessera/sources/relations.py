@@ -140,7 +140,7 @@ def recommendations(spark: SparkSession, path: str, k: int | None = None, repeat
     rows = entries.select("userId", typed.alias("r"), "list")
     fine = F.forall("r", lambda x: x["score"].between(1, 5) & x["movieId"].isNotNull()) & (F.size(F.array_distinct(F.transform("r", lambda x: x["movieId"]))) == F.size("r"))
     following = F.arrays_zip(F.slice("r", 1, F.greatest(F.size("r") - 1, F.lit(0))).alias("a"), F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0))).alias("b"))
-    fine = fine & F.forall(following, lambda p: (p["0"]["score"] > p["1"]["score"]) | ((p["0"]["score"] == p["1"]["score"]) & (p["0"]["movieId"] < p["1"]["movieId"])))
+    fine = fine & F.forall(following, lambda p: (p["a"]["score"] > p["b"]["score"]) | ((p["a"]["score"] == p["b"]["score"]) & (p["a"]["movieId"] < p["b"]["movieId"])))
     if k is not None:
         fine = fine & (F.size("r") <= k)
     kept = rows.where(checks.checked(fine, F.lit(True), "boolean", checks.told("recommendations are malformed or out of order", F.col("list"))))
