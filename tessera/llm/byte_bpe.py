@@ -100,7 +100,7 @@ class ByteBPE:
         data = self.decode(ids)
         character = np.cumsum(np.fromiter((b & 0xC0 != 0x80 for b in data), bool, len(data))) - 1 if data else np.zeros(0, int)
         ends = list(accumulate(len(self.bytes_of[i]) for i in ids))
-        return [(start, end, int(character[start]), int(character[end - 1]) + 1) for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+        return [(start, end, int(character[start]), int(character[end - 1]) + 1) for start, end in zip([0, *ends], ends, strict=False)]
 
     def decode_parts(self, ids) -> Iterator[str]:
         """Text token by token; bytes of a character that is split over tokens are held until its last token."""
