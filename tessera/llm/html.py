@@ -9,7 +9,7 @@ template tokens are its slots. Text nodes that are template tokens themselves ar
 A slot's place decides what it is: those under menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments are not content. If the page has an article (or main) element, the slots
 under it are the main text, and so is any repeated passage in it; else all other content slots are, without
-furniture.
+blocks that are nothing but furniture.
 
 An occurrence vector is held as a signature, the exclusive-or of a hash of (page, count) over the pages, so
 that tasks combine them and no host's pages are ever gathered.
@@ -163,8 +163,10 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html", key: str
     tokens = seen.mapInArrow(run, "host string, token long, pages long, sign long").groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("sign").alias("sign"))
     tokens = common.materialise(tokens.where("pages >= 2"), "tokens")
     sizes = tokens.where("token = 0").select("host", F.col("pages").alias("total"))
-    classes = tokens.where("token <> 0").groupBy("host", "pages", "sign").agg(F.collect_set("token").alias("tokens"))
-    valid = classes.where(F.size("tokens") >= LEAST_TOKENS).join(sizes, "host").where("pages * 2 >= total")
+    # on half of a host's pages or more: no more tokens than twice those of a page
+    common_tokens = tokens.where("token <> 0").join(sizes, "host").where("pages * 2 >= total")
+    classes = common_tokens.groupBy("host", "pages", "sign").agg(F.collect_set("token").alias("tokens"))
+    valid = classes.where(F.size("tokens") >= LEAST_TOKENS)
     return common.materialise(valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
 
 
@@ -172,7 +174,7 @@ def main_text(source: str | None, template: set[int]) -> str:
     """The main text of a page: its content slots, block by block."""
     blocks: list[list[str]] = [[]]
     articles: list[list[str]] = [[]]
-    any_main = False
+    any_main = own = False
     for kind, place, inside, main, content in Page(source or "").walk():
         any_main = any_main or main
         if kind == "text":
@@ -180,11 +182,16 @@ def main_text(source: str | None, template: set[int]) -> str:
                 continue
             if main:
                 articles[-1].append(content)
-            if content.strip() and token_key(place, content) not in template or content.isspace():
-                blocks[-1].append(content)
+            blocks[-1].append(content)
+            own = own or (content.strip() != "" and token_key(place, content) not in template)
         elif kind == "block":
+            if not own:
+                blocks[-1].clear()
             blocks.append([])
             articles.append([])
+            own = False
+    if not own:
+        blocks[-1].clear()
     lines = (" ".join("".join(html.unescape(x) for x in block).split()) for block in (articles if any_main else blocks))
     return "\n".join(x for x in lines if x)
 
