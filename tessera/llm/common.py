@@ -43,6 +43,12 @@ def remove(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this application has put into the shared folder. Results that still read them fail afterwards."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds Arrow batches by rows, since texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, html, language, lm, pii, secrets, simhash, topk, warc
+from . import byte_bpe, decontaminate, html, language, lm, pii, secrets, secrets_sql, simhash, topk, warc
 
 #: The surrogates' key; a deployment passes its own secret one to ``pii.pseudonymise``.
 KEY = b"tessera surrogates"
@@ -82,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_secrets": secrets_sql.ORACLE_SQL,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
