@@ -68,6 +68,14 @@ def prefix_subset(ratings: DataFrame, target: int) -> DataFrame:
     return ratings.join(chosen, "userId", "left_semi")
 
 
+def external(ratings: DataFrame, target: int) -> DataFrame:
+    """The prefix subset of an external set, which must hold ``target`` ratings."""
+    have = ratings.count()
+    if have < target:
+        raise ValueError(f"the input has {have} ratings, fewer than {target}")
+    return prefix_subset(ratings, target)
+
+
 def metric_text(value: Column, kind: str) -> Column:
     """A metric for display: count, number or percent; ``N/A`` for null."""
     shown = {"count": F.format_string("%d", value.cast("long")), "number": F.format_string("%.3f", value), "percent": F.format_string("%.3f%%", value * 100)}[kind]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera import schemas
 from tessera.operators import benchmarks, pairs, stats, synthetic, views
-from tessera.plans import catalogue, cli, counters, model, runner
+from tessera.config import ModelConfig
+from tessera.plans import artifacts, catalogue, cli, counters, model, runner
 from tessera.sources import sinks
 from tessera.streaming import pair_deltas
 
@@ -113,9 +114,39 @@ def test_growth_is_against_the_smallest(spark):
 
 
 def test_counters(spark):
-    df, seen = counters.pair_counters(spark.createDataFrame([(1, 2, 3), (1, 3, 1)], "movieI long, movieJ long, commonUsers long"))
+    df, seen = counters.observed_pairs(spark.createDataFrame([(1, 2, 3), (1, 3, 1)], "movieI long, movieJ long, commonUsers long"))
     df.collect()
     assert seen.get == {"finalPairs": 2, "contributions": 4}
+    data = [(1, 1, 5), (1, 2, 3), (2, 1, 4), (2, 2, 2), (2, 3, 5), (3, 2, 4), (3, 3, 1), (4, 9, 2)]
+    ratings = spark.createDataFrame(data, "userId long, movieId long, rating int")
+    fitted = model.fit(ratings, ModelConfig(top_l=1, top_k=1))
+    found = counters.pairs(ratings, fitted.pairs).first()
+    assert (found.validUserHistories, found.usersWithSingleItem, found.pairsEmitted, found.finalUnorderedPairs, found.commonUserContributions) == (4, 1, 5, 3, 5)
+    found = counters.similarity(fitted.pairs, 2, "cosine", 1).first()
+    assert (found.pairsFilteredByMinCommonUsers, found.directedRelationsBeforeTopL, found.directedRelationsAfterTopL, found.zeroDenominatorRelationsSkipped, found.sourceItems) == (1, 4, 3, 0, 3)
+    predicted, recommended = fitted.predictions(), fitted.recommendations()
+    found = counters.scoring(ratings, fitted.relations, predicted).first()
+    assert (found.userHistoryRows, found.sourceMoviesJoined, found.sourceMoviesWithoutSimilarities, found.contributionsEmitted, found.predictionRows) == (4, 3, 1, 7, predicted.count())
+    found = counters.top_k(ratings, predicted, recommended).first()
+    assert found.usersProcessed == 4 and found.usersWithoutPredictions == 1 and found.rawPredictionRows == predicted.count()
+    assert found.unseenCandidatesConsidered == found.recommendationsEmitted + found.candidatesDiscardedByTopK == found.rawPredictionRows - found.predictionsFilteredAsWatched
+    lines = spark.createDataFrame([(schemas.RATINGS_HEADER,), ("1,1,5,2005-01-01",), ("1,1,5,2005-01-01",)], "value string")
+    found = counters.history(lines, ratings.limit(2), ratings.limit(1)).first()
+    assert (found.inputRows, found.headerRows, found.validRatingRows, found.exactDuplicatesIgnored, found.usersEmitted) == (3, 1, 2, 1, 1)
+
+
+def test_artifacts(tmp_path):
+    (tmp_path / "a.txt").write_text("abc")
+    assert artifacts.export({"x.txt": str(tmp_path / "a.txt")}, str(tmp_path / "out"))["x.txt"]["bytes"] == 3
+    with pytest.raises(FileNotFoundError):
+        artifacts.export({"y": str(tmp_path / "none")}, str(tmp_path / "out"))
+    made = artifacts.own(str(tmp_path / "run"))
+    with pytest.raises(FileExistsError):
+        artifacts.own(str(made))
+    artifacts.own(str(made), replace=True)
+    with pytest.raises(PermissionError):
+        artifacts.own(str(tmp_path / "out"), replace=True)
+    assert artifacts.safe_member("a/b.txt") and not any(map(artifacts.safe_member, ("../x", "/x", "a/../../b", "C:x")))
 
 
 def test_stages_resume(tmp_path):
