@@ -174,7 +174,9 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     found = common.materialise(graph.components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"), "components")
     least = found.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     of = nodes.join(found.join(least, "root").select("fp", "least"), "fp", "left")
-    return rows.join(of.select("fp", F.coalesce("least", "rep").alias("component_id")), "fp").select(key, "fp", "component_id")
+    of = common.materialise(of.select("fp", F.coalesce("least", "rep").alias("component_id")), "members")
+    # alone in its plan, so that a fingerprint of very many rows can be split
+    return rows.join(of, "fp").select(key, "fp", "component_id")
 
 
 def digests(grouped: DataFrame, key: str = "doc_id") -> DataFrame:
