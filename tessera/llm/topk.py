@@ -64,12 +64,56 @@ def partials(a: np.ndarray, b: np.ndarray, lists: int) -> list[np.ndarray]:
     return [products(a[:, s:e], b[:, s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
 
 
-def _scored(candidates: DataFrame, block, pick) -> DataFrame:
-    """(query, id, score) of the entries that ``pick(part, total, own, at)`` takes from each slice: arrays of queries and candidates."""
+class Tops:
+    """Phase 1 in a task: per query and list the k best partial scores so far, with their candidates' whole scores."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.kept = k, {}
+
+    def feed(self, queries, names, parts, total, same, _):
+        for j, part in enumerate(parts):
+            seen = np.where(same, np.iinfo(np.int64).min, part)
+            n = min(self.k, seen.shape[1])
+            at = np.argpartition(seen, seen.shape[1] - n, axis=1)[:, -n:]
+            new = [np.take_along_axis(seen, at, 1), names[at], np.take_along_axis(total, at, 1)]
+            key = (queries.tobytes(), j)
+            if key in self.kept:
+                new = [np.concatenate(pair, axis=1) for pair in zip(self.kept[key][1], new, strict=True)]
+                best = np.argpartition(new[0], new[0].shape[1] - min(self.k, new[0].shape[1]), axis=1)[:, -self.k :]
+                new = [np.take_along_axis(x, best, 1) for x in new]
+            self.kept[key] = (queries, new)
+        return None
+
+    def rest(self):
+        for queries, (part, names, total) in self.kept.values():
+            real = part > np.iinfo(np.int64).min
+            yield queries[np.nonzero(real)[0]], names[real], total[real]
+
+
+class Above:
+    """Phases 2 and 3 in a task: entries above the uniform threshold, and of them the candidates whose whole score reaches the cutoff."""
+
+    def feed(self, queries, names, parts, total, same, cutoffs):
+        entry = np.zeros(total.shape, bool)
+        for part in parts:
+            entry |= part >= -(-cutoffs // len(parts))[:, None]
+        q, c = np.nonzero(entry & ~same)
+        kept = total[q, c] >= cutoffs[q]
+        return queries[q[kept]], names[c[kept]], total[q, c][kept]
+
+    def rest(self):
+        return ()
+
+
+def _scored(candidates: DataFrame, block, collector) -> DataFrame:
+    """(query, id, score) of the entries that a task's ``collector()`` gives, slice by slice or at the end."""
+
+    def pack(found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, cutoffs = block.value
-        lengths = np.array([len(v) for v in vectors])
+        lengths, own = np.array([len(v) for v in vectors]), collector()
         for batch in batches:
             widths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for width in np.unique(widths):
@@ -83,9 +127,10 @@ def _scored(candidates: DataFrame, block, pick) -> DataFrame:
                 for at in range(0, len(matrix), step):
                     names = own_ids[at : at + step]
                     parts = partials(queries, matrix[at : at + step], LISTS)
-                    total, same = sum(parts), ids[of][:, None] == names[None, :]
-                    q, c = pick(parts, total, same, None if cutoffs is None else cutoffs[of])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[of][q]), pa.array(names[c]), pa.array(total[q, c])], names=["query", "id", "score"])
+                    found = own.feed(ids[of], names, parts, sum(parts), ids[of][:, None] == names[None, :], None if cutoffs is None else cutoffs[of])
+                    if found is not None:
+                        yield pack(found)
+        yield from map(pack, own.rest())
 
     return candidates.mapInArrow(run, "query long, id long, score long")
 
@@ -105,34 +150,18 @@ def search(vectors: DataFrame, asks: Column, key: str = "vec_id", vector: str =
     blocks = max(1, -(-queries.count() // BLOCK))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
 
-    def local_tops(parts, total, same, _):
-        taken = np.zeros(total.shape, bool)
-        for part in parts:
-            seen = np.where(same, np.iinfo(np.int64).min, part)
-            n = min(k, seen.shape[1])
-            np.put_along_axis(taken, np.argpartition(seen, seen.shape[1] - n, axis=1)[:, -n:], True, axis=1)
-        return np.nonzero(taken & ~same)
-
-    def above(parts, total, same, cutoffs):
-        entry = np.zeros(total.shape, bool)
-        for part in parts:
-            entry |= part >= -(-cutoffs // len(parts))[:, None]
-        q, c = np.nonzero(entry & ~same)
-        kept = total[q, c] >= cutoffs[q]
-        return q[kept], c[kept]
-
     results = None
     for b in range(blocks):
         own = dealt.where(F.col("block") == b).orderBy("id").collect()
         ids = np.array([r.id for r in own], np.int64)
         sent = [np.array(r.v) for r in own]
         block = spark.sparkContext.broadcast((ids, sent, None))
-        lists = _scored(rows, block, local_tops)
+        lists = _scored(rows, block, lambda: Tops(k))
         reached = {r.query: r.score for r in _best(lists.distinct(), k, "query rank score").where(F.col("rank") == k).collect()}
         floor = np.iinfo(np.int64).min // 4
         cutoffs = np.array([reached.get(int(i), floor) for i in ids], np.int64)
         block = spark.sparkContext.broadcast((ids, sent, cutoffs))
-        found = _best(_scored(rows, block, above), k, "query rank id score")
+        found = _best(_scored(rows, block, Above), k, "query rank id score")
         if blocks > 1:
             found = common.materialise(found, "block-results")
         results = found if results is None else results.union(found)
