@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm import byte_bpe, common, decontaminate, language, pii, queries, simhash
+from tessera.llm import byte_bpe, common, decontaminate, jaccard, language, pii, queries
 
 #: Ids that are broadcast at most to drop their rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -39,9 +39,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of linked fingerprints: that with the least id, and of several rows with that id the least hash of the text."""
+    """Keeps one document of each component of texts whose five-word shingles are alike by 0.8 or more: that with the least id, and of several rows with that id the least hash of the text."""
     rows = docs.withColumn("__doc", named("doc_id", F.xxhash64("text")))
-    grouped = common.materialise(simhash.group(rows.select("__doc", "text"), key="__doc"), "grouped")
+    grouped = common.materialise(jaccard.group(rows.select("__doc", "text"), key="__doc"), "grouped")
     first = F.col("__doc").eqNullSafe(F.col("component_id"))
     kept = without(docs, grouped.where(~first))
     repeated = common.materialise(grouped.where(first).groupBy("__doc").count().where("count > 1").select("__doc"), "repeated")

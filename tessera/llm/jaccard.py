@@ -1,0 +1,171 @@
+"""Near-duplicates by word shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+
+Rows with equal sets are one node. MinHash bands (``BANDS`` of ``BAND`` values) put nodes into coarse clusters:
+two sets at exactly 0.8 share no band with a probability of (1 - 0.8^5)^32, three in a million, and more alike
+ones with less. A coarse cluster only says what to compare: within it the links are found exactly, by an index
+of the rarest shingles of each set (two sets at 0.8 share one of those) and the sets' intersection. A cluster
+of many or large sets is cut into chunks, and every pair of chunks is a task's own group; it yields a spanning
+forest of its links, never the pairs. Components then come from the forests.
+
+Defined results: words are lower-cased and parted by white space; a text of less than five words is a single
+shingle; texts without a word (null or empty ones among them) are equal to each other; repeated rows are
+linked; a component's id is the least of its keys; an empty table gives no rows; other columns are never read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from . import common, graph
+
+WIDTH = 5
+#: The least similarity of a link, as a fraction.
+SHARE = (4, 5)
+SEED = 42
+BANDS, BAND = 32, 5
+#: Shingles and sets of a cluster that one group holds; larger clusters are cut.
+WEIGHT, MEMBERS = 1_000_000, 2048
+#: Nodes that are broadcast at most to fetch their texts; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
+#: Fixed values of the hash functions.
+FLIP, FACTOR = (np.array([xxhash.xxh64_intdigest(f"{kind} {i}", SEED) for i in range(BANDS * BAND)], np.uint64) for kind in ("flip", "factor"))
+FACTOR |= np.uint64(1)
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles."""
+    words = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    if len(words) <= width:
+        return np.frombuffer(digest(joined, SEED), ">u8").astype(np.uint64)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[width:])])  # noqa: B905
+    return np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def bands(own: np.ndarray) -> list[int]:
+    """A signed 64-bit name of each band of the set's MinHash values."""
+    if not len(own):
+        return []
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(own), 512):
+        np.minimum(least, ((own[at : at + 512, None] ^ FLIP) * FACTOR).min(0), out=least)
+    held = least.tobytes()
+    return [int.from_bytes(xxhash.xxh64_digest(held[k * 8 * BAND : (k + 1) * 8 * BAND], k), "big", signed=True) for k in range(BANDS)]
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that connect what is linked among ``sets``."""
+    if len(sets) < 2:
+        return []
+    sizes = [len(s) for s in sets]
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranked = [np.sort(r) for r in np.split(rank[place], np.cumsum(sizes)[:-1])]
+    held = [set(r.tolist()) for r in ranked]
+    root, used, index = list(range(len(sets))), [], {}
+    (part, whole) = SHARE
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x in sorted(range(len(sets)), key=sizes.__getitem__):
+        n = sizes[x]
+        rare = ranked[x][: n - -(-part * n // whole) + 1].tolist()
+        for y in {y for r in rare for y in index.get(r, ())}:
+            if whole * sizes[y] < part * n or (a := find(x)) == (b := find(y)):
+                continue
+            both = len(held[x] & held[y])
+            if (part + whole) * both >= part * (n + sizes[y]):
+                root[max(a, b)] = min(a, b)
+                used.append((y, x))
+        for r in rare:
+            index.setdefault(r, []).append(x)
+    return used
+
+
+def _groups(sets: DataFrame) -> DataFrame:
+    """``sets`` (own, root, n, held) dealt into groups (root, one, two); any two of a cluster share a group."""
+    size = sets.groupBy("root").agg(F.greatest(F.sum("n") / WEIGHT, F.count("*") / MEMBERS).alias("size")).where("size > 1")
+    large = common.materialise(size.select("root", F.ceil(F.col("size") * 2).cast("int").alias("pieces")), "large-clusters")
+    if large.isEmpty():
+        return sets.select("root", F.lit(0).alias("one"), F.lit(0).alias("two"), "own", "held")
+    whole = sets.join(large, "root", "left_anti").select("root", F.lit(0).alias("one"), F.lit(0).alias("two"), "own", "held")
+    own = sets.join(large, "root").withColumn("mine", F.pmod(F.xxhash64("own"), "pieces").cast("int"))
+    cut = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return whole.union(cut.select("root", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "own", "held"))
+
+
+def links(sets: DataFrame) -> DataFrame:
+    """(a, b): links between ``sets`` (own, root, n, held), enough of them to connect all that are linked within a cluster ``root``."""
+    names = ["root", "one", "two"]
+    sorted_groups = _groups(sets).repartition(*names).sortWithinPartitions(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, held = None, [], []
+
+        def work() -> pa.RecordBatch:
+            found = forest(held)
+            return pa.RecordBatch.from_pydict({"a": pa.array([own[i] for i, _ in found], pa.int64()), "b": pa.array([own[j] for _, j in found], pa.int64())})
+
+        for batch in batches:
+            for root, one, two, name, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, one, two) != now:
+                    if len(own) > 1:
+                        yield work()
+                    now, own, held = (root, one, two), [], []
+                own.append(name)
+                held.append(np.frombuffer(raw, np.uint64))
+        if len(own) > 1:
+            yield work()
+
+    return sorted_groups.mapInArrow(run, "a long, b long")
+
+
+def group(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, own, component_id) per row of ``docs``: the name of its set, and the least key of its component."""
+
+    def signed():
+        def work(texts: list) -> list:
+            sets = [shingles(t) for t in texts]
+            names = [int.from_bytes(xxhash.xxh64_digest(s.tobytes(), SEED), "big", signed=True) for s in sets]
+            return [pa.array(names, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+
+        return work
+
+    def held():
+        def work(texts: list) -> list:
+            sets = [shingles(t) for t in texts]
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+
+        return work
+
+    rows = common.map_texts(docs, [key], text, [T.StructField("own", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))], signed)
+    rows = common.materialise(rows, "signatures")
+    nodes = common.materialise(rows.groupBy("own").agg(F.min(key).alias("rep"), F.any_value("bands").alias("bands")), "distinct-sets")
+    dealt = nodes.select("own", F.explode("bands").alias("band"))
+    shared = common.materialise(dealt.groupBy("band").agg(F.min("own").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared-bands")
+    coarse = graph.components(dealt.join(shared, "band").where("own <> least").select(F.col("own").alias("a"), F.col("least").alias("b")).distinct())
+    wanted = common.materialise(coarse.withColumnRenamed("node", "own").join(nodes, "own").select(F.col("rep").alias(key), "own", "root"), "clusters")
+    sent = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    texts = docs.select(key, F.col(text).alias("__text")).join(sent, key)
+    sets = common.map_texts(texts, ["own", "root"], "__text", [T.StructField("n", T.LongType()), T.StructField("held", T.BinaryType())], held)
+    sets = common.materialise(sets.dropDuplicates(["own"]), "sets")
+    found = common.materialise(graph.components(links(sets)).withColumnRenamed("node", "own"), "components")
+    least = found.join(nodes, "own").groupBy("root").agg(F.min("rep").alias("least"))
+    of = nodes.join(found.join(least, "root").select("own", "least"), "own", "left")
+    of = common.materialise(of.select("own", F.coalesce("least", "rep").alias("component_id")), "members")
+    # alone in its plan, so that a set of very many rows can be split
+    return rows.join(of, "own").select(key, "own", "component_id")

@@ -1,0 +1,57 @@
+"""Near-duplicates of the pipeline against brute-force Jaccard."""
+
+from itertools import combinations
+
+import pytest
+from conftest import SF, rows
+
+import corpus_pipeline
+from tessera.llm import jaccard
+
+
+def plain_sets(texts):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def plain_components(texts):
+    sets, root = plain_sets(texts), list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    found = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    base = [f"word{i}" for i in range(100)]
+    # 6 of 96 shingles differ at each end: 0.88; five shingles around each of two changed words: 0.81; of three: 0.73
+    odd = [base, ["x", *base[6:]], [*base[:30], "y", *base[31:60], "y", *base[61:]], [*base[:20], "z", *base[21:40], "z", *base[41:70], "z", *base[71:]]]
+    texts = [*map(" ".join, odd), " ".join(base).upper(), "", None, "one two", "One  TWO", "one two three"]
+    return found + [(10**6 + i, t) for i, t in enumerate(texts)] + [found[3]]
+
+
+def test_stage_is_brute_force_jaccard(spark, data):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    parts = plain_components([t for _, t in data])
+    kept = rows(corpus_pipeline.drop_near_duplicates(spark, docs, SF), "doc_id")
+    assert kept == sorted((min(data[i][0] for i in range(len(data)) if parts[i] == p),) for p in set(parts))
+
+
+def test_large_clusters_are_cut(spark, data, monkeypatch):
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    whole = rows(jaccard.group(table, "doc_id"))
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    assert rows(jaccard.group(table, "doc_id")) == whole
+
+
+def test_empty_table(spark):
+    assert jaccard.group(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
