@@ -7,9 +7,9 @@ classes nest by the places of their tokens, and together they are the host's tem
 template tokens are its slots. Text nodes that are template tokens themselves are the host's furniture.
 
 A slot's place decides what it is: those under menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are not content. If the page has an article (or main) element, the slots
-under it are the main text, and so is any repeated passage in it; else all other content slots are, without
-blocks that are nothing but furniture.
+scripts, styles and reader comments are not content. All other slots are the main text, on every page, without
+blocks that are nothing but furniture. An article (or main) element is a hint only: a repeated passage in it is
+taken for content and not for furniture; what stands beside it is judged by the template.
 
 An occurrence vector is held as a signature, the exclusive-or of a hash of (page, count) over the pages, so
 that tasks combine them and no host's pages are ever gathered.
@@ -173,26 +173,21 @@ def templates(pages: DataFrame, url: str = "url", source: str = "html", key: str
 def main_text(source: str | None, template: set[int]) -> str:
     """The main text of a page: its content slots, block by block."""
     blocks: list[list[str]] = [[]]
-    articles: list[list[str]] = [[]]
-    any_main = own = False
+    own = False
     for kind, place, inside, main, content in Page(source or "").walk():
-        any_main = any_main or main
         if kind == "text":
             if inside:
                 continue
-            if main:
-                articles[-1].append(content)
             blocks[-1].append(content)
-            own = own or (content.strip() != "" and token_key(place, content) not in template)
+            own = own or (content.strip() != "" and (main or token_key(place, content) not in template))
         elif kind == "block":
             if not own:
                 blocks[-1].clear()
             blocks.append([])
-            articles.append([])
             own = False
     if not own:
         blocks[-1].clear()
-    lines = (" ".join("".join(html.unescape(x) for x in block).split()) for block in (articles if any_main else blocks))
+    lines = (" ".join("".join(html.unescape(x) for x in block).split()) for block in blocks)
     return "\n".join(x for x in lines if x)
 
 
