@@ -5,7 +5,9 @@ A text is canonicalised into a template: numbers (and number words), units after
 punctuation goes. Windows of ``WIDTH`` template words are hash-joined with those of the benchmark items. For
 documents that share ``SHARE`` of an item's windows the slots are then compared: along one alignment, each
 value of the item must stand against one value of the document throughout. Windows of an alignment whose
-slots contradict each other do not count. So a question with other numbers, names or units is still caught,
+slots contradict each other do not count. A capitalised word that begins a text, sentence, line or quotation can
+be a word or a name, so windows have two readings, each judged by itself: such a word is a word in one and a name
+in the other. So a question with other numbers, names or units is still caught,
 and one that merely has the same form is not.
 
 Defined results: null or empty texts have no windows; a text shorter than ``WIDTH`` words is a single window,
@@ -27,8 +29,8 @@ LITERALS = 2
 #: Benchmark windows that are broadcast at most, and documents to look at again; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-#: Marks of slots, from the private use area: name, number, unit; and what joins the words of one name.
-NAME, NUMBER, UNIT, JOINT = "", "", "", ""
+#: Marks of slots, from the private use area: name, number, unit; what joins the words of one name; and a word that may be a name.
+NAME, NUMBER, UNIT, JOINT, START = "", "", "", "", ""
 #: Number words and units.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half"
 UNITS = """km m cm mm mi miles mile meters meter metres metre kilometers kilometres feet foot ft inches inch in yards yard kg g mg lb lbs pounds pound grams gram kilograms kilogram ounces ounce oz
@@ -42,11 +44,19 @@ def marked(text: Column) -> Column:
     # a capitalised word is a name where a letter, a digit or a comma stands before it
     out = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+", f"{NAME}$0")
     out = F.when(F.contains(out, F.lit(NAME)), F.regexp_replace(out, rf" {NAME}(?<={NAME}\p{{L}}{{1,40}} {NAME})", JOINT)).otherwise(out)
+    # any other may be one
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}{JOINT}])\p{{Lu}}(?=\p{{Ll}})", f"{START}$0")
     numbers = F.regexp_replace(F.regexp_replace(out, r"(?<=\d)[.,](?=\d)", ""), r"\d+", f"{NUMBER}$0 ")
     numbers = F.regexp_replace(numbers, rf"(?i)({NUMBER}\d+) +({units})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     out = F.when(out.rlike(r"\d"), numbers).otherwise(out)
     out = F.regexp_replace(F.lower(out), rf"(?<![\p{{L}}{NAME}-{JOINT}])(?:{words})(?!\p{{L}})", f"{NUMBER}$0")
-    return F.trim(F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{JOINT}]+", " "))
+    out = F.when(F.contains(out, F.lit(START)), F.regexp_replace(out, rf"{START}(?!\p{{L}})", "")).otherwise(out)
+    return F.trim(F.regexp_replace(out, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{START}]+", " "))
+
+
+def _read(marked_text: Column, mark: str) -> Column:
+    """One reading: ``mark`` for what may be a name, nothing or ``NAME``."""
+    return F.replace(marked_text, F.lit(START), F.lit(mark))
 
 
 def _split(joined: Column) -> Column:
@@ -60,24 +70,35 @@ def _placed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def windows(df: DataFrame, text: str, raw: bool = False) -> DataFrame:
-    """``df`` without ``text``, with ``hashes`` array<long>, the windows' in order; with ``raw`` also the marked words."""
+    """``df`` without ``text``, with ``hashes`` and ``others`` array<long>, the windows' in order in either reading; with ``raw`` also the marked words."""
     rest = [c for c in df.columns if c != text]
     words = df.select(*rest, marked(F.coalesce(F.col(text), F.lit(""))).alias("__marked"))
     words = _placed(words, words=_split(F.col("__marked"))) if raw else words
-    template = _split(F.regexp_replace("__marked", f"([{NAME}-{UNIT}])[^ ]+", "$1"))
-    hashed = _placed(words.select(*rest, *(["words"] if raw else []), template.alias("__t")), __h=F.transform("__t", lambda w: F.xxhash64(w)))
+    rest += ["words"] if raw else []
+    template = lambda mark: F.transform(_split(F.regexp_replace(_read(F.col("__marked"), mark), f"([{NAME}-{UNIT}])[^ ]+", "$1")), lambda w: F.xxhash64(w))
+    hashed = _placed(words, __h=template(""), __g=template(NAME))
     n = F.greatest(F.size("__h") - (WIDTH - 1), F.least(F.size("__h"), F.lit(1)))
-    each = F.transform(F.slice("__h", F.lit(1), n), lambda x, i: F.xxhash64(x, *[F.get("__h", i + k) for k in range(1, WIDTH)]))
-    return hashed.select(*rest, *(["words"] if raw else []), each.alias("hashes"))
+    each = lambda h: F.transform(F.slice(h, F.lit(1), n), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WIDTH)]))
+    return hashed.select(*rest, each("__h").alias("hashes"), each("__g").alias("others"))
+
+
+def _by_reading(words: str, first: Column, second: Column) -> Column:
+    """array<struct<second, hash, words>>: a window in the first reading, and in the second one if it differs; each where its condition holds."""
+    one = lambda k, hash, mark, sure: F.struct(F.lit(k).alias("second"), F.col(hash).alias("hash"), F.transform(words, lambda w: _read(w, mark)).alias("words"), sure.alias("sure"))
+    return F.filter(F.array(one(False, "hash", "", first), one(True, "other", NAME, second & (F.col("other") != F.col("hash")))), lambda x: x["sure"])
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    """(own, j, hash, words, of): the windows of items that are evidence, and how many an item has."""
-    found = windows(items.select("own", "text"), "text", raw=True).select("own", "words", F.posexplode("hashes").alias("j", "hash"))
-    placed = found.select("own", "j", "hash", F.slice("words", F.col("j") + 1, F.lit(WIDTH)).alias("words"))
-    literal = F.size(F.filter("words", lambda w: ~w.rlike(f"^[{NAME}-{UNIT}]")))
-    sure = placed.where(literal >= F.least(F.lit(LITERALS), F.size("words")))
-    return sure.join(sure.groupBy("own").agg(F.count("*").alias("of")), "own")
+    """(own, j, hash, words, of, readings): the windows of items that are evidence, by reading, how many an item has, and the readings in which they count."""
+    found = windows(items.select("own", "text"), "text", raw=True).select("own", "words", F.posexplode(F.arrays_zip("hashes", "others")).alias("j", "c"))
+    placed = found.select("own", "j", F.col("c.hashes").alias("hash"), F.col("c.others").alias("other"), F.slice("words", F.col("j") + 1, F.lit(WIDTH)).alias("words"))
+    sure = lambda marks: F.size(F.filter("words", lambda w: ~w.rlike(f"^[{marks}]"))) >= F.least(F.lit(LITERALS), F.size("words"))
+    placed = placed.withColumns({"same": F.col("hash") == F.col("other"), "w": _by_reading("words", sure(f"{NAME}-{UNIT}"), sure(f"{NAME}-{UNIT}{START}"))})
+    each = placed.select("own", "j", "same", F.explode("w").alias("w")).select("own", "j", "w.hash", "w.words", F.col("w.second").alias("second"), "same")
+    readings = F.when(F.col("second"), F.array(F.lit(2))).when(F.col("same"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    # a window that is evidence in the second reading is so in the first
+    of = each.where("not second").groupBy("own").agg(F.count("*").alias("of"))
+    return each.select("own", "j", "hash", "words", readings.alias("readings")).join(of, "own")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
@@ -94,24 +115,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
 
     # which documents share enough windows with an item
-    shared = windows(rows, "text").select("doc", F.explode("hashes").alias("hash")).join(held(bench.select("own", "j", "hash", "of")), "hash")
+    shared = windows(rows, "text").select("doc", F.explode(F.array_union("hashes", "others")).alias("hash")).join(held(bench.select("own", "j", "hash", "of")), "hash")
     counted = shared.select("doc", "own", "of", "j").distinct().groupBy("doc", "own", "of").agg(F.count("*").alias("n"))
     likely = materialise(counted.where(F.col("n") >= F.col("of") * share).select("doc").distinct(), "likely")
     again_held = F.broadcast if likely.count() <= BROADCAST_ROWS else (lambda df: df)
 
     # their slots
     again = rows.join(again_held(likely), "doc", "left_semi").distinct()
-    placed = windows(again, "text", raw=True).select("doc", "words", F.posexplode("hashes").alias("i", "hash"))
-    placed = placed.select("doc", "i", "hash", F.slice("words", F.col("i") + 1, F.lit(WIDTH)).alias("theirs"))
-    along = ["doc", "own", "of", "shift"]
+    placed = windows(again, "text", raw=True).select("doc", "words", F.posexplode(F.arrays_zip("hashes", "others")).alias("i", "c"))
+    placed = placed.select("doc", "i", F.col("c.hashes").alias("hash"), F.col("c.others").alias("other"), F.slice("words", F.col("i") + 1, F.lit(WIDTH)).alias("words"))
+    placed = placed.select("doc", "i", F.explode(_by_reading("words", F.lit(True), F.lit(True))).alias("w")).select("doc", "i", "w.hash", F.col("w.words").alias("theirs"), F.col("w.second").alias("second"))
+    along = ["doc", "own", "of", "reading", "shift"]
     hits = placed.join(held(bench), "hash").withColumn("shift", F.col("i") - F.col("j"))
+    hits = hits.withColumn("reading", F.explode(F.when(F.col("second"), F.array(F.lit(2))).otherwise(F.col("readings"))))
     hits = materialise(hits.select(*along, "j", "words", "theirs"), "hits")
     slots = F.filter(F.arrays_zip("words", "theirs"), lambda s: s["words"].rlike(f"^[{NAME}-{UNIT}]"))
     values = hits.select(*along, F.explode(slots).alias("s")).select(*along, F.col("s.words").alias("a"), F.col("s.theirs").alias("b")).distinct()
     per_slot = values.groupBy(*along, "a").agg(F.count("*").alias("n"), F.max(F.col("a") != F.col("b")).alias("other"))
     alignments = per_slot.groupBy(*along).agg(F.max("n").alias("most"), F.max("other").alias("other"))
     sure = hits.select(*along, "j").join(alignments, along, "left").where("most IS NULL OR most = 1")
-    each = sure.groupBy("doc", "own", "of", "j").agg(F.min(F.coalesce("other", F.lit(False))).alias("other"))
-    found = each.groupBy("doc", "own", "of").agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"))
-    named = found.where(F.col("windows") >= F.col("of") * share).join(items.select("own", "item"), "own")
+    each = sure.groupBy("doc", "own", "of", "reading", "j").agg(F.min(F.coalesce("other", F.lit(False))).alias("other"))
+    found = each.groupBy("doc", "own", "of", "reading").agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"))
+    best = found.where(F.col("windows") >= F.col("of") * share).groupBy("doc", "own", "of").agg(F.min(F.struct("reading", "windows", "reparameterised")).alias("best"))
+    named = best.select("doc", "own", "of", "best.windows", "best.reparameterised").join(items.select("own", "item"), "own")
     return named.select(F.col("doc.key").alias(key), F.col("doc.digest").alias("digest"), F.col("item").alias(item), "windows", "of", "reparameterised")
