@@ -5,10 +5,10 @@ The vocabulary is a rank file (base64 token, rank). Every byte has a printable s
 Its merges are derived from the ranks: every way to split a token into two tokens of lower rank is a
 merge with that token's priority, the longer left part first.
 
-Each distinct piece of text (a match of the split pattern) is encoded once by the library and kept in a
-bounded memo; a document is the concatenation of its pieces. The pieces come from the ``regex`` module
+Each distinct piece of text (a match of the split pattern) is encoded by the library and kept in a memo
+bounded in bytes; a document is the concatenation of its pieces. The pieces come from the ``regex`` module
 where it agrees with the library's own splitter (SAFE); a text with any other character goes through the
-library as a whole.
+library as a whole. ``digested`` takes the digests where the ids are, so that no ids travel.
 
 Defined results: a null text is the empty text (no ids, empty bytes); empty text likewise; repeated rows
 give repeated results; columns other than the id and the text are never read.
@@ -17,6 +17,7 @@ give repeated results; columns other than the id and the text are never read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +32,10 @@ from . import common
 
 #: Ranges on which both splitters know every character's class; others change with the Unicode version.
 SAFE = r"\x00-\u0557\u2000-\u208e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
-#: Distinct pieces kept by each worker before the memo starts anew.
-MEMO = 400_000
+#: Bytes of each half of a worker's memo; when the young half is full it becomes the old one, which is then let go.
+MEMO = 12_000_000
+#: Characters of a piece that is kept at most, and the fixed share of an entry's size.
+KEPT, ENTRY = 64, 200
 
 
 def byte_table() -> list[str]:
@@ -70,26 +73,43 @@ class ByteBPE:
             self.bytes_of[rank] = bytes(back[c] for c in shown[token])
         self.pieces = regex.compile(pattern).findall
         self.strange = re.compile(f"[^{SAFE}]").search
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        tokenize = self.library.model.tokenize
-        for piece in pieces:
-            shown = piece.encode().decode("latin-1").translate(self.table)
-            self.memo[piece] = tuple([token.id for token in tokenize(shown)])
+        self.decimals = [b"%d" % i for i in range(len(self.bytes_of))]
+        self.numbers = list(range(len(self.bytes_of)))
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def _of(self, piece: str) -> tuple[int, ...]:
+        """The ids of a piece that the young half has not."""
+        ids = self.old.get(piece)
+        if ids is None:
+            shown, numbers = piece.encode().decode("latin-1").translate(self.table), self.numbers
+            ids = tuple([numbers[token.id] for token in self.library.model.tokenize(shown)])
+        if len(piece) <= KEPT:
+            self.held += ENTRY + 4 * len(piece) + 8 * len(ids)
+            if self.held > MEMO:
+                self.old, self.young, self.held = self.young, {}, 0
+            self.young[piece] = ids
+        return ids
 
     def encode(self, text: str) -> Iterator[int]:
         """The ids of a whole text."""
         if not text.isascii() and self.strange(text):
             return iter(self.library.encode(text, add_special_tokens=False).ids)
-        pieces = self.pieces(text)
-        new = {p for p in pieces if p not in self.memo}
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set(pieces)
-            self._learn(list(new))
-        return chain.from_iterable(map(self.memo.__getitem__, pieces))
+        young, of = self.young.get, self._of
+        found = []
+        for piece in self.pieces(text):
+            ids = young(piece)
+            if ids is None:
+                ids = of(piece)
+                young = self.young.get
+            found.append(ids)
+        return chain.from_iterable(found)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """The number of ids, the SHA-256 of the ids as decimals joined by commas, and that of the bytes they decode to."""
+        ids = list(self.encode(text))
+        return len(ids), hashlib.sha256(b",".join(map(self.decimals.__getitem__, ids))).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
     def decode(self, ids) -> bytes:
         """The bytes of ids. An id outside the vocabulary raises IndexError."""
@@ -141,6 +161,22 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     return common.map_texts(docs, [key, *keep], text, fields, make)
 
 
+def digested(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: key, ``keep``, n_tokens, ids_sha256, decoded_sha256; what ``digests`` makes of ``encode_decode``'s rows."""
+
+    def make():
+        bpe = tokenizer(path, pattern)
+
+        def work(texts: list) -> list:
+            rows = [bpe.digests(t or "") for t in texts]
+            return [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+
+        return work
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return common.map_texts(docs, [key, *keep], text, fields, make)
+
+
 def digests(coded: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """The digest columns of ``encode_decode``'s rows."""
     return coded.select(

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(byte_bpe.encode_decode(table(spark, sf_dir, "documents"), RANKS, PATTERN))
+    return byte_bpe.digested(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

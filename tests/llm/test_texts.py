@@ -57,6 +57,14 @@ def test_bpe_memo_starts_anew(bpe, reference, monkeypatch):
         assert list(bpe.encode(text)) == reference.encode_ordinary(text)
 
 
+def test_bpe_memo_is_bounded_in_bytes(bpe, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO", 50_000)
+    for i in range(3000):
+        list(bpe.encode(f"w{i} " + "y" * 5000))
+    held = lambda memo: sum(byte_bpe.ENTRY + 4 * len(p) + 8 * len(ids) for p, ids in memo.items())
+    assert held(bpe.young) <= 50_400 and held(bpe.old) <= 50_400 and max(map(len, bpe.young)) <= byte_bpe.KEPT
+
+
 def test_bpe_unknown_id(bpe):
     with pytest.raises(IndexError):
         bpe.decode([10**7])
@@ -67,6 +75,8 @@ def test_bpe_rows(spark, odd, reference):
     assert sorted(bytes(r.decoded) for r in coded.collect()) == sorted((t or "").encode() for t in [*ODD, "", ""])
     assert sorted(r.n_tokens for r in byte_bpe.digests(coded).collect()) == sorted(len(reference.encode_ordinary(t or "")) for t in [*ODD, "", ""])
     assert byte_bpe.digests(byte_bpe.encode_decode(odd.limit(0), PATH, public_tokenizers.PATTERN)).count() == 0
+    assert rows(byte_bpe.digested(odd, PATH, public_tokenizers.PATTERN)) == rows(byte_bpe.digests(coded))
+    assert byte_bpe.digested(odd.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
 def plain_spans(text):
