@@ -70,7 +70,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document, and of the bytes that its ids decode to."""
-    return byte_bpe.digests(byte_bpe.encode_decode(docs, queries.RANKS, queries.PATTERN))
+    return byte_bpe.digested(docs, queries.RANKS, queries.PATTERN)
 
 
 STAGES = [
