@@ -266,12 +266,30 @@ def test_hot_cells_are_cut(spark):
     base = int(rng.integers(2**63))
     fps = sorted({base ^ sum(1 << int(b) for b in rng.integers(0, 40, rng.integers(0, 4))) for _ in range(300)} | {int(x) for x in rng.integers(0, 2**63, 100)})
     table = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for cell in (8192, 16):
-        found = dict(rows(graph.components(simhash.links(table, cell=cell))))
-        parts = plain_components(fps)
+    parts = plain_components(fps)
+    for cell, m in ((8192, 1), (16, 1), (8192, 3), (8, 2), (2, 4)):
+        found = dict(rows(graph.components(simhash.links(table, cell=cell, m=m))))
         assert {fps[i]: fps[p] for i, p in enumerate(parts) if parts.count(p) > 1} == found
 
 
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert [simhash.agreeing(n) for n in (0, 10**5, 10**7, 10**9, 10**13)] == [1, 1, 2, 3, 4]
+    for m in (1, 2, 3, 4):
+        assert sum(mask.bit_count() for _, mask in simhash.blocks_of(4, m)) == 64 and len(simhash.blocks_of(4, m)) == 4 + m
+
+
+def test_links_between_chunks(spark):
+    """Two groups that only one bridge of a hot cell connects, whatever chunk it falls into."""
+    base = 0x0123456789ABCDEF
+    left = [base ^ (1 << i) for i in range(30)]
+    right = [base ^ (0b111111 << 40) ^ (1 << i) for i in range(30)]
+    bridge = [base ^ (0b111 << 40)]
+    table = spark.createDataFrame([(x,) for x in left + right + bridge], "fp long")
+    for cell in (8192, 4):
+        found = dict(rows(graph.components(simhash.links(table, cell=cell))))
+        assert set(found.values()) == {min(left + right + bridge)} and len(found) == 61
+
+
 def test_simhash_null_ids_and_empty(spark):
     found = simhash.group(frame(spark, [(None, "a b c d e"), (4, "a b c d e"), (None, "other words are here now")]))
     assert rows(found, "doc_id", "component_id") == [(4, 4), (None, 4), (None, None)]
@@ -282,8 +300,10 @@ def test_pivots_never_lose_a_link():
     rng = np.random.default_rng(5)
     fps = rng.integers(0, 2**63, 50).astype(np.uint64)
     near = np.concatenate([fps, fps ^ np.uint64(0b1111), fps ^ np.uint64(0b11111)])
-    i, j = simhash.forest(near, np.full(len(near), len(near)))
-    assert {(int(a), int(b)) for a, b in zip(i, j, strict=True)} >= set() and len(i) == 100  # 50 trees of three
+    i, j = simhash.forest(near, np.zeros(len(near), int))
+    assert len(i) == 100 and (np.bitwise_count(near[i] ^ near[j]) <= 4).all()  # 50 trees of three
+    assert len(simhash.forest(near, np.zeros(len(near), int), wanted=np.arange(len(near)) % 50)[0]) == 0
+    assert len(simhash.forest(near, np.arange(len(near)))[0]) == 0
 
 
 def test_components_of_a_chain(spark):
@@ -296,6 +316,7 @@ def test_components_of_a_chain(spark):
 
 def test_top_k_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 3)  # several blocks of queries
+    monkeypatch.setattr(topk, "SLICE", 4000)  # several slices of candidates
     rng = np.random.default_rng(6)
     vectors = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(300)]
     vectors[50] = (50, vectors[51][1])
@@ -312,6 +333,22 @@ def test_top_k_is_brute_force(spark, monkeypatch):
     assert topk.search(table.limit(0), __import__("pyspark.sql.functions", fromlist=["x"]).expr("id % 50 = 0")).count() == 0
 
 
+def test_the_uniform_threshold_prunes():
+    """Phases 2 and 3 touch the entries of T / lists and above in some list, and no others."""
+    rng = np.random.default_rng(8)
+    x = np.floor(rng.standard_normal((2000, 32)) * 256)
+    asks, names = np.arange(0, 2000, 50), np.arange(2000)
+    whole = (x[asks] @ x.T).astype(np.int64)
+    whole[names[None, :] == asks[:, None]] = topk.NONE
+    q, i, s = topk.local_best(asks, x[asks], names, x, 5)
+    assert (s == whole[q // 50, i]).all() and len(q) == 5 * len(asks)
+    cutoffs = np.array([np.sort(s[q == a])[0] for a in asks])
+    found = set(zip(*map(np.ndarray.tolist, topk.sufficient(x[asks], cutoffs, x)), strict=True))
+    halves = [(x[asks][:, of] @ x[:, of].T) * 2 >= cutoffs[:, None] for of in (slice(0, 16), slice(16, 32))]
+    assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(halves[0] | halves[1])), strict=True)) and len(found) < whole.size / 8
+    assert {(a, b) for a, b, _ in zip(*map(np.ndarray.tolist, topk.reaching(asks, x[asks], cutoffs, names, x)), strict=True)} == {(int(asks[a]), b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(whole >= cutoffs[:, None])), strict=True)}
+
+
 def test_large_components(spark):
     assert topk.products(np.array([[2.0**30, 1.0]]), np.array([[2.0**30, 1.0]])).tolist() == [[2**60 + 1]]
     with pytest.raises(OverflowError):
