@@ -1,12 +1,20 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked with the help of pivot distance tables.
 
-Distinct fingerprints are dealt into cells by blocks of equal bits: of ``radius + 1`` blocks two linked
-fingerprints agree in one at least, so every link lies within a cell. There, each fingerprint has a row of
-Hamming distances to the pivots (fixed reference fingerprints). By the triangle inequality the distances of
-linked fingerprints differ by ``radius`` at most in every coordinate; pairs with a larger difference are
-discarded, and the survivors verified by their differing bits. A cell yields a spanning forest of its links,
-never the pairs; cells above ``CELL`` members are cut into chunks and every pair of chunks is a task's own
-group. Components then come from the forests.
+Distinct fingerprints are dealt into cells by bits on which they agree. The 64 bits are cut into ``radius + m``
+blocks; two linked fingerprints differ in ``radius`` blocks at most, so they agree on some ``m`` of them, and
+each choice of ``m`` blocks is a cell key. ``m`` grows with the number of fingerprints so that unrelated ones
+rarely share a cell (``CROWD`` of them by expectation); no link is lost at any ``m``.
+
+In a cell each fingerprint has a row of Hamming distances to the pivots (fixed reference fingerprints). By the
+triangle inequality the distances of linked fingerprints differ by ``radius`` at most in every coordinate. The
+cell is sorted by the first coordinate, so that only neighbours within ``radius`` of it meet at all; pairs with
+a larger difference in another one are discarded, and the survivors verified by their differing bits. A cell
+yields a spanning forest of its links, never the pairs.
+
+A cell above ``CELL`` members is cut. First its chunks are worked on alone, which with all other cells gives
+components; then only members of different components are still to be compared: those outside the cell's
+largest component meet every chunk of the cell. So a huge group of copies is passed over once and not squared.
+Components then come from the forests.
 
 Defined results: null or empty text, or one without a word, has fingerprint zero and is linked like any
 other; repeated rows are linked; a row whose id is null belongs to its component, of which the id is the
@@ -16,7 +24,8 @@ least that is not null (null if there is none); an empty table gives no rows; ot
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +39,8 @@ SEED = 42
 RADIUS = 4
 #: Members of a cell that one group holds; larger cells are cut.
 CELL = 8192
+#: Unrelated fingerprints that share a cell, by expectation and at most, before cells get keys of more blocks.
+CROWD = 64
 #: Rows that a task gathers before it works on the cells that are complete.
 GATHER = 60_000
 #: Reference fingerprints, from a fixed rule.
@@ -92,13 +103,24 @@ class Forest:
         return used
 
 
-def forest(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is linked: fps sorted by cell, ends[i] the end of the cell of position i."""
-    tables = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def forest(fps: np.ndarray, cells: np.ndarray, radius: int = RADIUS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that connect what is linked among fingerprints ``fps`` of equal ``cells`` (any numbers).
+
+    With ``wanted`` (component numbers) only links between different ones are looked for.
+    """
+    first = np.bitwise_count(fps ^ PIVOTS[0]).astype(np.int16)
+    order = np.lexsort((first, cells))
+    fps, first, cells = fps[order], first[order], cells[order]
+    tables = np.bitwise_count(fps[:, None] ^ PIVOTS[None, 1:]).astype(np.int8)
     trees, left, right = Forest(len(fps)), [], []
-    here, step = np.arange(len(fps)), 1
+    if wanted is not None:
+        _, start, inverse = np.unique(wanted[order], return_index=True, return_inverse=True)
+        trees.root = start[inverse]
+    here, step, last = np.arange(len(fps)), 1, len(fps) - 1
     while True:
-        here = here[here + step < ends[here]]
+        here = here[here + step <= last]
+        # sorted by cell and first coordinate: what is too far now is too far at every later step
+        here = here[(cells[here + step] == cells[here]) & (first[here + step] - first[here] <= radius)]
         if not len(here):
             break
         i = here[trees.root[here] != trees.root[here + step]]
@@ -114,55 +136,83 @@ def forest(fps: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> tuple[np.
         step += 1
     if not left:
         return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(left), np.concatenate(right)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def _cells(radius: int) -> list[tuple[int, int]]:
-    """(shift, mask) of the blocks of bits, as even as may be."""
-    bounds = [64 * k // (radius + 1) for k in range(radius + 2)]
+def blocks_of(radius: int, agreeing: int) -> list[tuple[int, int]]:
+    """(shift, mask) of ``radius + agreeing`` blocks of bits, as even as may be."""
+    n = radius + agreeing
+    bounds = [64 * k // n for k in range(n + 1)]
     return [(a, (1 << (b - a)) - 1) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """(a, b): links between the distinct fingerprints ``fps`` (fp), enough of them to connect all that are linked."""
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND(mask).alias("bits")) for k, (shift, mask) in enumerate(_cells(radius))])
-    dealt = fps.select("fp", F.explode(blocks).alias("c")).select("fp", "c.block", "c.bits")
-    hot = common.materialise(dealt.groupBy("block", "bits").count().where(F.col("count") > cell), "hot-cells")
-    whole = dealt.withColumns({"one": F.lit(0), "two": F.lit(0)})
-    if not hot.isEmpty():
-        pieces = hot.select("block", "bits", F.ceil(F.col("count") * 2 / cell).cast("int").alias("n"))
-        whole = whole.join(pieces, ["block", "bits"], "left_anti").select("fp", "block", "bits", "one", "two")
-        own = dealt.join(pieces, ["block", "bits"]).withColumn("mine", F.pmod(F.xxhash64("fp"), "n").cast("int"))
-        cut = own.select("fp", "block", "bits", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        whole = whole.union(cut.select("fp", "block", "bits", F.least("mine", "other"), F.greatest("mine", "other")))
-    group = ["block", "bits", "one", "two"]
-    sorted_cells = whole.repartition(*group).sortWithinPartitions(*group)
+def agreeing(n: int, radius: int = RADIUS, crowd: int = CROWD) -> int:
+    """Blocks that a cell key holds for ``n`` distinct fingerprints: as many as keep unrelated ones to ``crowd`` a cell, up to half of all bits."""
+    m = 1
+    while 64 * m / (radius + m) < min(32, log2(max(n, 1) / crowd)):
+        m += 1
+    return m
+
+
+def dealt(fps: DataFrame, radius: int, m: int) -> DataFrame:
+    """(fp, cell): a row per choice of ``m`` blocks; the cell's name is a hash of the choice and its bits."""
+    blocks = [F.shiftrightunsigned("fp", shift).bitwiseAND(mask) for shift, mask in blocks_of(radius, m)]
+    cells = [F.xxhash64(F.lit(k), *[blocks[b] for b in choice]) for k, choice in enumerate(combinations(range(len(blocks)), m))]
+    return fps.select("fp", F.explode(F.array(*cells)).alias("cell"))
+
+
+def _forests(groups: DataFrame, radius: int) -> DataFrame:
+    """(a, b): the forests of ``groups`` (fp, cell, one, two[, root]), whatever shares cell, one and two; with ``root`` between different roots."""
+    names = ["cell", "one", "two"]
+    ready = groups.repartition(*names).sortWithinPartitions(*names).select("fp", *names, *[c for c in groups.columns if c == "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def work(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, 1:] != rows[:-1, 1:]).any(1)
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(rows))[np.cumsum(new) - 1]
-            i, j = forest(rows[:, 0].view(np.uint64), ends, radius)
+            new[1:] = (rows[1:, 1:4] != rows[:-1, 1:4]).any(1)
+            i, j = forest(np.ascontiguousarray(rows[:, 0]).view(np.uint64), np.cumsum(new), radius, rows[:, 4] if rows.shape[1] > 4 else None)
             return pa.RecordBatch.from_arrays([pa.array(rows[i, 0]), pa.array(rows[j, 0])], names=["a", "b"])
 
         for batch in batches:
             held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
             if sum(map(len, held)) >= GATHER:
-                rows = np.ascontiguousarray(np.concatenate(held))
-                last = np.flatnonzero((rows[:, 1:] != rows[-1, 1:]).any(1))
+                rows = np.concatenate(held)
+                last = np.flatnonzero((rows[:, 1:4] != rows[-1, 1:4]).any(1))
                 if len(last):
                     cut = int(last[-1]) + 1
-                    yield work(np.ascontiguousarray(rows[:cut]))
+                    yield work(rows[:cut])
                     rows = rows[cut:]
                 held = [rows]
         if held and sum(map(len, held)):
-            yield work(np.ascontiguousarray(np.concatenate(held)))
-
-    return sorted_cells.select("fp", *group).mapInArrow(run, "a long, b long")
+            yield work(np.concatenate(held))
+
+    return ready.mapInArrow(run, "a long, b long")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, m: int = 1) -> DataFrame:
+    """(a, b): links between the distinct fingerprints ``fps`` (fp), enough of them to connect all that are linked; ``m`` blocks make a key."""
+    each = dealt(fps, radius, m)
+    hot = common.materialise(each.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell), "hot-cells")
+    if hot.isEmpty():
+        return _forests(each.withColumns({"one": F.lit(0), "two": F.lit(0)}), radius)
+    chunk = lambda n: F.pmod(F.xxhash64("fp"), F.ceil(n / F.lit(cell))).cast("int")
+    alone = each.join(hot, "cell", "left").select("fp", "cell", F.coalesce(chunk(F.col("n")), F.lit(0)).alias("one"), F.lit(0).alias("two"))
+    found = common.materialise(_forests(alone, radius), "links-in-chunks")
+    # what the chunks left apart
+    root = common.materialise(graph.components(found).withColumnRenamed("node", "fp"), "chunk-components")
+    members = each.join(hot, "cell").join(root, "fp", "left").select("fp", "cell", "n", F.coalesce("root", "fp").alias("root"))
+    members = common.materialise(members, "hot-members")
+    parts = members.groupBy("cell", "root").agg(F.count("*").alias("own"))
+    largest = parts.groupBy("cell").agg(F.max(F.struct("own", "root"))["root"].alias("major"), F.sum("own").alias("all"), F.max("own").alias("own"))
+    apart = common.materialise(largest.where("all > own").select("cell", "major", (F.col("all") - F.col("own")).alias("others")), "apart")
+    rest = members.join(apart, "cell")
+    ones, twos = F.ceil(F.col("others") / F.lit(cell)).cast("int"), F.ceil(F.col("n") / F.lit(cell)).cast("int")
+    minor = rest.where("root <> major").select("fp", "cell", "root", F.pmod(F.xxhash64("fp"), ones).cast("int").alias("one"), F.explode(F.sequence(F.lit(0), twos - 1)).alias("two"))
+    every = rest.select("fp", "cell", "root", F.explode(F.sequence(F.lit(0), ones - 1)).alias("one"), chunk(F.col("n")).alias("two"))
+    between = _forests(minor.unionByName(every).distinct(), radius)
+    return found.union(between)
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -171,7 +221,8 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     rows = common.materialise(fingerprints(docs, key, text), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min(key).alias("rep"))
     nodes = common.materialise(nodes, "distinct-fingerprints")
-    found = common.materialise(graph.components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp"), "components")
+    edges = links(nodes.select("fp"), radius, m=agreeing(nodes.count(), radius))
+    found = common.materialise(graph.components(edges).withColumnRenamed("node", "fp"), "components")
     least = found.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("least"))
     of = nodes.join(found.join(least, "root").select("fp", "least"), "fp", "left")
     of = common.materialise(of.select("fp", F.coalesce("least", "rep").alias("component_id")), "members")
