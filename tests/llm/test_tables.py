@@ -217,11 +217,85 @@ def test_repeated_passages_in_articles_stay(spark):
     assert rows(found, "page_id", "text") == [(i, f"T{i}\nLicensed to all.\nx{i}") for i in range(5)]
 
 
+def typed(i, kind):
+    """A page without an article element: the host's frame, and the frame of one of two page types."""
+    inner = {"a": f"<div class=w1><b>Our shop notice</b></div><div class=w2>Goods {i}</div>", "b": f"<ul class=w3><li>Imprint text<li>Second line</ul><div class=w4><p>News {i}</p></div>"}[kind]
+    return f"<html><body><div class=top>Welcome text</div>{inner}<div class=end>All rights</div></body></html>"
+
+
 def test_valid_classes(spark):
-    pages = [(i, "http://h/", f"<body><nav><a>x</a></nav><p>p{i}</p></body>") for i in range(4)] + [(9, "http://one/", "<body><p>x</p></body>")]
-    made = html.templates(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    assert [r.host for r in made] == ["h"]
-    assert html.token_key("/body/nav") in made[0].template and html.token_key("/body/p", "p1") not in made[0].template
+    """Against the definition: true occurrence vectors, same slot and place on every page."""
+    pages = [(i, "http://h/", typed(i, "a")) for i in range(7)] + [(10 + i, "http://h/", typed(i, "b")) for i in range(3)]
+    pages += [(20 + i, "http://h/", f"<html><body>{''.join(f'<p>{w}</p>' for w in ('one', 'two', 'one', 'two')[i : i + 2])}<i>x</i><u>y</u></body></html>") for i in range(3)]
+    pages += [(30, "http://one/", "<body><p>x</p></body>")] + [(40 + i, "http://copies/", "<body><p>x</p></body>") for i in range(9)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    counts = [html.occurrences(h) for _, u, h in pages if u == "http://h/"]
+    every = {t for c in counts for t in c}
+    vector = {t: tuple(c.get(t, 0) for c in counts) for t in every}
+    classes = {}
+    for t, v in vector.items():
+        classes.setdefault(v, set()).add(t)
+    n = lambda v: sum(x > 0 for x in v)
+    fine = {v: own for v, own in classes.items() if n(v) >= 3 and len(own) >= 2 and sum(t % 2 == 0 for t in own) >= (1 if 2 * n(v) >= len(counts) else 2)}
+    found = html.candidates(table).collect()
+    assert {r.host for r in found} == {"h"}
+    by_sign = {}
+    for r in found:
+        by_sign.setdefault(r.sign, set()).add(r.token)
+    assert sorted(map(sorted, by_sign.values())) == sorted(map(sorted, fine.values()))
+    main = max(fine, key=lambda v: (n(v), len(fine[v])))
+    kept = set()
+    for v, own in fine.items():
+        for t in own:
+            seen = set()
+            for c in counts:
+                if t in c:
+                    order = [x for x in c if any(x in f for f in fine.values())]
+                    before = order[: order.index(t)]
+                    seen.add((0 if v == main else sum(x in fine[main] for x in before), sum(x in own for x in before)))
+            kept |= {t} if len(seen) == 1 else set()
+    template = html.templates(table).collect()
+    assert {r.token for r in template} == kept and kept < {t for own in fine.values() for t in own}
+    assert html.token_key("/html/body/div.w1/b", "Our shop notice") in kept and html.token_key("/html/body/div.w2", "Goods 1") not in kept
+
+
+def test_the_template_decides(spark):
+    """Furniture of each page type goes by the template alone: no label marks it, and pages have no article."""
+    pages = [(i, "http://h/", typed(i, "a")) for i in range(7)] + [(10 + i, "http://h/", typed(i, "b")) for i in range(3)] + [(20, "http://alone/", typed(1, "a"))]
+    found = rows(html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text")
+    assert found == [(i, f"Goods {i}") for i in range(7)] + [(10 + i, f"News {i}") for i in range(3)] + [(20, "Welcome text\nOur shop notice\nGoods 1\nAll rights")]
+
+
+def test_labels_are_of_slots(spark):
+    """A label counts if its element is of the template, in an article only as a whole name."""
+    body = "<body><article><div class='entry-header'><h1>T{i}</h1></div><p class='share-price'>P{i}</p><div class='banner'>B{i}</div><div class='comment-list'>c{i}</div>{odd}</article></body>"
+    pages = [(i, "http://h/", body.format(i=i, odd="<div class='related'>my relatives</div>" if i == 2 else "")) for i in range(4)]
+    found = rows(html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text")
+    assert found == [(i, f"T{i}\nP{i}\nB{i}" + "\nmy relatives" * (i == 2)) for i in range(4)]
+
+
+def test_templates_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(html, "SENT_TOKENS", 0)
+    test_the_template_decides(spark)
+
+
+@pytest.mark.parametrize("piece", ["<b x", "<b x=\"", "<b>", "<b x='><p>", "<!--", "<script>", "< ", "</p>", "<p><b>", "<li><div class='a b c'>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    text = "start " + piece * (1_000_000 // len(piece)) + "<p>end</p>"
+    began = time.time()
+    html.main_text(text, None)
+    assert time.time() - began < 8  # seconds of a loaded machine; quadratic time would be hours
+
+
+def test_long_and_odd_pages():
+    words = "word " * 100_000
+    assert html.main_text(f"<p>{words}</p>", None) == words.strip()
+    assert html.main_text("<p title='a > b'>x</p><p title=\"<i>\">y</p>", None) == "x\ny"
+    assert html.main_text("a <3 b < c<p>d</p> <y and z", None) == "a <3 b < c\nd"
+    assert html.main_text('<p>one</p><a href="x>two</a><p>three</p>', None).split()[0] == "one"
+    assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after</p>", None) == "deep\nafter"
 
 
 # ---- SimHash ---------------------------------------------------------------------------------------------
