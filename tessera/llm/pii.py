@@ -1,15 +1,19 @@
 """Surrogates for personal data: detected entities receive keyed, type-consistent replacements.
 
-Entities: e-mail addresses, payment card numbers (Luhn), IBANs (mod 97), IPv4 addresses, phone numbers, US
-social security numbers, and personal names after a form of address or a known given name. A name is several
-entities, its given names and its surnames, so that a surname alone corefers with the full name.
+Entities: e-mail addresses, payment card numbers (Luhn), IBANs (mod 97), IPv4 and IPv6 addresses, phone
+numbers, US social security numbers, and personal names after a form of address or a known given name. A name
+is several entities, its given names and its surnames, so that a surname alone corefers with the full name;
+wherever a part of a name that was found in a text stands alone in that text, capitalised, it is a mention of
+that name and gets its surrogate too.
 
 A surrogate follows from the key, the kind, the entity's canonical form and an attempt number: the same
 entity gets the same surrogate everywhere, in the surface's own format (separators, case, country code,
 issuer digit, check digits, length), script, and for given names gender. Distinctness is checked over the
 whole corpus: entities whose surrogates coincide, or whose surrogate is an entity of the corpus itself, go to
 their next attempt until none is left; the least settled one keeps its surrogate. Only the few entities beyond
-their first attempt are an exception that rewriting must look up.
+their first attempt are an exception that rewriting must look up. It ends: from attempt ``GROW`` on every
+attempt makes the surrogate one character longer, at the cost of its exact length, so each round has at least
+ten times the room of the one before and the entities that still collide die out.
 
 Defined results: null text stays null, without entities; text without entities is unchanged; where matches
 of different kinds overlap the earlier, then the longer, then the kind listed first wins; repeated rows get
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -35,6 +40,8 @@ KINDS = ("email", "card", "iban", "ip", "phone", "ssn", "name")
 SENT = 10_000
 #: Distinct entities that a task holds before it passes them on.
 HELD = 100_000
+#: The attempt from which surrogates grow.
+GROW = 4
 
 #: Top-level parts whose ``example`` domains are reserved.
 RESERVED = ("com", "net", "org")
@@ -63,18 +70,24 @@ ENDINGS = {("Latin", "m"): "n", ("Latin", "f"): "na", ("Latin", "u"): "l", ("Cyr
 ALPHABETS = {"Latin": ("a", 26), "Cyrillic": ("а", 32), "Greek": ("α", 17), "Hebrew": ("א", 27), "Arabic": ("ب", 19), "Hiragana": ("か", 30), "Katakana": ("カ", 30), "Han": ("一", 2000), "Hangul": ("가", 2000), "Devanagari": ("क", 33)}
 
 SEP = r"[%$&#*!]{0,3}[ .\-]?"
-EMAIL_LEFT = regex.compile(r"[\w.+%-]+$")
+EMAIL_LEFT = regex.compile(r"(?r)[\w.+%-]++")
 EMAIL_RIGHT = regex.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 NUMBERS = {
-    "card": re.compile(r"(?<![\w.])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w]|[ -]?\d)|(?<![\w.])3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\w)"),
+    "card": re.compile(r"(?<![\w.])[2-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w]|[ -]?\d)|(?<![\w.])3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\w)"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)"),
-    "phone": re.compile(rf"(?<![\w+])(?:\+\d{{1,3}}{SEP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{SEP}\d{{2,4}}){{2,4}}|\(\d{{3}}\){SEP}\d{{3}}{SEP}\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?![\w-])"),
+    "phone": re.compile(rf"(?<![\w+])(?:\+\d{{1,3}}{SEP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{SEP}\d{{2,4}}){{2,4}}|\(\d{{3}}\){SEP}\d{{3}}{SEP}\d{{4}}|\d{{3}}([ .-])\d{{3}}\1\d{{4}})(?![\w-]|[ .]\d)"),
     "ssn": re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"),
 }
-_word = r"\p{Lu}[\p{Ll}\p{Mn}]+(?:[-'’]\p{Lu}\p{Ll}+)*"
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,39}(?![\w:]|\.\d)")
+_word = r"\p{Lu}(?:[\p{Ll}\p{Mn}]+|[\p{Lu}\p{Mn}]+)(?:[-'’]\p{Lu}\p{L}+)*"
 _forms = {form: gender for gender, forms in ADDRESS.items() for form in forms.split()}
-NAME = regex.compile(rf"(?<![\w])(?:(?P<form>{'|'.join(sorted(_forms, key=len, reverse=True))})\.?[  ](?P<after>{_word}(?:[ ]{_word}){{0,2}})|(?P<known>{'|'.join(sorted(GENDER))})(?:[ ]{_word}){{1,2}})(?!\w)")
+_forms |= {form.upper(): gender for form, gender in _forms.items()}
+_known = sorted({*GENDER, *(name.upper() for name in GENDER)})
+NAME = regex.compile(rf"(?<![\w])(?:(?P<form>{'|'.join(sorted(_forms, key=len, reverse=True))})\.?[  ](?P<after>{_word}(?:[ ]{_word}){{0,2}})|(?P<known>{'|'.join(_known)})(?:[ ]{_word}){{1,2}})(?!\w)")
+#: A word that may be a mention of a name.
+MENTION = regex.compile(rf"(?<![\w]){_word}(?!\w)")
+_gender = GENDER | {name.upper(): gender for name, gender in GENDER.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -86,6 +99,14 @@ def iban_holds(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def ipv6_holds(text: str) -> bool:
+    """Whether it is an IPv6 address of three groups at least."""
+    try:
+        return len(text.replace(":", "")) >= 3 and text.count(":") >= 3 and ipaddress.ip_address(text).version == 6
+    except ValueError:
+        return False
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
@@ -97,7 +118,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, tuple[tuple[int, int,
     found = []
     at = text.find("@")
     while at >= 0:
-        left, right = EMAIL_LEFT.search(text, max(0, at - 128), at), EMAIL_RIGHT.match(text, at + 1)
+        left, right = EMAIL_LEFT.match(text, 0, at), EMAIL_RIGHT.match(text, at + 1)
         if left and right:
             start = left.start() + len(left[0]) - len(left[0].lstrip("."))
             if start < at:
@@ -115,9 +136,13 @@ def detect(text: str | None) -> list[tuple[int, int, str, tuple[tuple[int, int,
                 if kind == "phone" and not 7 <= len(plain) <= 15:
                     continue
                 found.append((m.start(), m.end(), kind, None))
+    if "::" in text or text.count(":") > 6:
+        found += [(m.start(), m.end(), "ip", None) for m in IPV6.finditer(text) if ipv6_holds(m[0])]
+    named = False
     for m in NAME.finditer(text):
         start, end = (m.start("after"), m.end()) if m["form"] else (m.start(), m.end())
-        found.append((start, end, "name", _forms.get(m["form"]) if m["form"] else GENDER[m["known"]]))
+        found.append((start, end, "name", _forms.get(m["form"]) if m["form"] else _gender[m["known"]]))
+        named = True
     found.sort(key=lambda x: (x[0], -x[1], KINDS.index(x[2])))
     out, done = [], 0
     for start, end, kind, gender in found:
@@ -125,7 +150,27 @@ def detect(text: str | None) -> list[tuple[int, int, str, tuple[tuple[int, int,
             continue
         done = end
         out.append((start, end, kind, tuple(_parts(text, start, end, kind, gender))))
-    return out
+    return _with_mentions(text, out) if named else out
+
+
+def _with_mentions(text: str, found: list) -> list:
+    """``found`` with the words that stand alone and are part of a name found in the text; the first name that has the word tells its kind."""
+    kinds: dict[str, str] = {}
+    for *_, kind, parts in found:
+        if kind == "name":
+            for *_, own, canonical in parts:
+                kinds.setdefault(canonical, own)
+    out, k = [], 0
+    for m in MENTION.finditer(text):
+        own = kinds.get(m[0].casefold())
+        if own is None:
+            continue
+        while k < len(found) and found[k][1] <= m.start():
+            out.append(found[k])
+            k += 1
+        if k == len(found) or m.end() <= found[k][0]:
+            out.append((m.start(), m.end(), "name", ((m.start(), m.end(), own, m[0].casefold()),)))
+    return out + found[k:]
 
 
 def _parts(text: str, start: int, end: int, kind: str, gender: str | None) -> Iterator[tuple[int, int, str, str]]:
@@ -138,12 +183,12 @@ def _parts(text: str, start: int, end: int, kind: str, gender: str | None) -> It
     elif kind == "iban":
         yield start, end, kind, whole.replace(" ", "")
     elif kind == "ip":
-        yield start, end, kind, whole
+        yield start, end, kind, whole.lower()
     else:
         words = list(re.finditer(r"\S+", whole))
         for i, w in enumerate(words):
             given = i < len(words) - 1
-            own = GENDER.get(w[0], gender) if given else None
+            own = _gender.get(w[0], gender) if given else None
             yield start + w.start(), start + w.end(), f"given_{own}" if given else "surname", w[0].casefold()
 
 
@@ -190,51 +235,61 @@ def _shape(pick: Choices, text: str) -> str:
     return "".join(out)
 
 
+def _more(pick: Choices, attempt: int, characters: str = "0123456789") -> str:
+    """What makes a surrogate of a late attempt longer."""
+    return "".join(characters[pick.below(len(characters))] for _ in range(attempt - GROW + 1))
+
+
 def _surrogate(pick: Choices, kind: str, canonical: str, attempt: int) -> str:
     if kind == "email":
         local, _, domain = canonical.rpartition("@")
-        top = domain.rpartition(".")[2]
-        return f"{_shape(pick, local)}@{_shape(pick, domain.partition('.')[0])}.example.{top if top in RESERVED else RESERVED[pick.below(3)]}"
+        rest, _, top = domain.rpartition(".")
+        rest = rest.removesuffix("example").rstrip(".") or "mail"
+        return f"{_shape(pick, local)}{_more(pick, attempt)}@{_shape(pick, rest)}.example.{top if top in RESERVED else RESERVED[pick.below(3)]}"
     if kind == "card":
-        body = canonical[0] + "".join(str(pick.below(10)) for _ in canonical[2:])
+        body = canonical[0] + "".join(str(pick.below(10)) for _ in canonical[2:]) + _more(pick, attempt)
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "iban":
-        body = "".join(str(pick.below(10)) if c.isdigit() else chr(65 + pick.below(26)) for c in canonical[4:])
+        body = "".join(str(pick.below(10)) if c.isdigit() else chr(65 + pick.below(26)) for c in canonical[4:]) + _more(pick, attempt)
         check = 98 - int("".join(str(int(c, 36)) for c in body + canonical[:2] + "00")) % 97
         return f"{canonical[:2]}{check:02d}{body}"
     if kind == "ip":
+        if ":" in canonical or attempt >= GROW:
+            # the documentation range; its 96 bits are room enough for any corpus
+            return ":".join(["2001", "db8", *(f"{pick.below(1 << 16):x}" for _ in range(6))])
         return ".".join(str((1 if i == 0 else 0) + pick.below(223 if i == 0 else 255)) for i in range(4))
     if kind == "phone":
         country, plus, rest = canonical.rpartition("+")
-        return country + plus + "".join(str(2 + pick.below(8)) if i == 0 else str(pick.below(10)) for i in range(len(rest)))
+        return country + plus + "".join(str(2 + pick.below(8)) if i == 0 else str(pick.below(10)) for i in range(len(rest))) + _more(pick, attempt)
     if kind == "ssn":
         area = 1 + pick.below(898)
-        return f"{area + (area >= 666):03d}{1 + pick.below(99):02d}{1 + pick.below(9999):04d}"
+        return f"{area + (area >= 666):03d}{1 + pick.below(99):02d}{1 + pick.below(9999):04d}{_more(pick, attempt)}"
     own = script(canonical)
     gender = kind.removeprefix("given_") if kind != "surname" else ""
     names = GIVEN.get((own, gender), "").split()
     if names and attempt < 2:
         return names[pick.below(len(names))].casefold()
     if own not in SYLLABLES:
-        return _shape(pick, canonical)
+        first, n = ALPHABETS[own]
+        return _shape(pick, canonical) + "".join(chr(ord(first) + pick.below(n)) for _ in range(attempt - GROW + 1))
     syllables = SYLLABLES[own].split()
-    word = "".join(syllables[pick.below(len(syllables))] for _ in range(3 + (attempt > 3)))
+    word = "".join(syllables[pick.below(len(syllables))] for _ in range(3 + max(0, attempt - GROW + 1)))
     if gender:
         return word + ENDINGS.get((own, gender), "")
     return word + next((e for e in ("ова", "ева", "ин", "ов", "ев") if own == "Cyrillic" and canonical.endswith(e)), "")
 
 
 def rendered(surface: str, kind: str, canonical: str) -> str:
-    """A canonical surrogate in the format of the surface that it replaces."""
+    """A canonical surrogate in the format of the surface that it replaces; what is longer than it stands at its end."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(canonical.replace("+", ""))
-        return "".join(next(digits) if c in "0123456789" else c for c in surface)
+        return "".join([next(digits) if c in "0123456789" else c for c in surface]) + "".join(digits)
     if kind == "iban":
         chars = iter(canonical)
-        return "".join(c if c == " " else next(chars) for c in surface)
+        return "".join([c if c == " " else next(chars) for c in surface]) + "".join(chars)
     if kind == "ip":
         return canonical
-    if surface.isupper():
+    if surface.isupper() and len(surface) > 1:
         return canonical.upper()
     if kind == "email":
         return canonical

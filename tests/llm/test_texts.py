@@ -2,11 +2,13 @@
 
 import base64
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from conftest import rows
 from hypothesis import given, settings, strategies as st
 
@@ -156,6 +158,43 @@ def test_entities():
     ]
 
 
+def test_mentions_of_names():
+    text = "Mr John Smith came. Smith left. John stayed. Mrs Smith spoke. Smithson and the smith did not. MRS PRIYA SHARMA, then SHARMA and Priya"
+    out, counts = pii.replace(text, b"key", {})
+    assert not regex.search(r"\b(John|Smith|PRIYA|SHARMA|Priya)\b", out) and "Smithson and the smith did not" in out
+    words = out.replace(".", "").replace(",", "").split()
+    assert words[2] == words[4] == words[9] and words[1] == words[6] and words[19].isupper() and words[19] == words[21]
+    assert words[18].casefold() == words[23].casefold() and counts == {"name": 7}
+
+
+def test_more_entities():
+    text = "2221 0000 0000 0009 and 555 123 4567 or 555.123.4567, 2001:0DB8:85a3::8a2e:370:7334, 12:30:15, a::b, " + "x" * 5000 + "@mail.example.com"
+    assert [(k, text[a:b][:15]) for a, b, k, _ in pii.detect(text)] == [("card", "2221 0000 0000 "), ("phone", "555 123 4567"), ("phone", "555.123.4567"), ("ip", "2001:0DB8:85a3:"), ("email", "x" * 15)]
+    assert [k for *_, k, _ in pii.detect(pii.replace(text, b"k", {})[0])] == ["card", "phone", "phone", "ip", "email"]
+
+
+def test_small_surrogate_spaces_end(spark):
+    """1,500 addresses of one letter and one digit at a time have few surrogates of their own length; all get distinct ones."""
+    docs = spark.createDataFrame([(i, f"a@b.s{i % 10}.com b@{'cdefg'[i % 5]}.s{i % 7}.com and {i % 1000:03d}-{1 + i % 99:02d}-{1 + i:04d} Mr {'ABCDEFGHIJ'[i % 10]}x {'ABCDEFGHIJ'[i // 10 % 10]}y") for i in range(1500)], "doc_id long, text string")
+    short = spark.createDataFrame([("email", f"{a}@{b}{c}.com", ) for a in "abcdefghij" for b in "abcdefghij" for c in "0123456789"], "kind string, canonical string")
+    settled = pii.settle(short, b"k").collect()
+    assert len({r.surrogate for r in settled}) == 1000 and not {r.surrogate for r in settled} & {r.canonical for r in settled}
+    assert pii.pseudonymise(docs, b"k").count() == 1500
+    for attempt in range(pii.GROW, pii.GROW + 5):
+        for kind, canonical in (("email", "a@b.c.com"), ("card", "4845168114407329"), ("iban", "DE89370400440532013000"), ("phone", "1+9885552485"), ("ssn", "078051120"), ("surname", "smith"), ("given_f", "mary"), ("surname", "李")):
+            made = [pii.surrogate(b"k", kind, canonical, a) for a in (attempt, attempt + 1)]
+            assert len(made[1]) > len(made[0])
+            assert kind not in ("card",) or pii.luhn(made[0])
+            assert kind not in ("iban",) or pii.iban_holds(made[0])
+
+
+def test_long_runs_take_linear_time():
+    began = time.time()
+    for text in ("a" * 300_000 + "@", "a@" * 150_000, "1 " * 150_000, "Mr Ab " * 50_000, "1:" * 150_000, "A" * 300_000, "ab.cd@" + "a." * 100_000):
+        pii.detect(text)
+    assert time.time() - began < 60
+
+
 def test_surrogates_keep_the_type():
     out, counts = pii.replace(TEXT, b"key", {})
     again = pii.detect(out)
