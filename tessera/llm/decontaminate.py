@@ -12,7 +12,8 @@ and one that merely has the same form is not.
 
 Defined results: null or empty texts have no windows; a text shorter than ``WIDTH`` words is a single window,
 matched by a text of just those words; windows with fewer than ``LITERALS`` words that are no placeholders
-are no evidence and count nowhere, and an item without any other window is never found; a document is its id
+are no evidence of a template, and an item without any other window is looked for by its plain words, numbers and
+names included, in windows of the same width and with the same share; a document is its id
 with its text, so repeated rows are one result and rows with a null id are told apart by their texts; items
 are told apart by their id and text alike; empty tables give no rows; other columns are never read.
 """
@@ -82,6 +83,16 @@ def windows(df: DataFrame, text: str, raw: bool = False) -> DataFrame:
     return hashed.select(*rest, each("__h").alias("hashes"), each("__g").alias("others"))
 
 
+def _plain_windows(df: DataFrame, text: str) -> DataFrame:
+    """``df`` without ``text``, with ``hashes`` array<long>: the windows of plain words, nothing canonicalised but their case."""
+    rest = [c for c in df.columns if c != text]
+    plain = F.regexp_replace(F.translate(marked(F.coalesce(F.col(text), F.lit(""))), JOINT, " "), f"[{NAME}-{START}]", "")
+    words = _placed(df.select(*rest, plain.alias("__plain")), __h=F.transform(_split(F.col("__plain")), lambda w: F.xxhash64(w)))
+    n = F.greatest(F.size("__h") - (WIDTH - 1), F.least(F.size("__h"), F.lit(1)))
+    each = F.transform(F.slice("__h", F.lit(1), n), lambda x, i: F.xxhash64(x, *[F.get("__h", i + k) for k in range(1, WIDTH)]))
+    return words.select(*rest, each.alias("hashes"))
+
+
 def _by_reading(words: str, first: Column, second: Column) -> Column:
     """array<struct<second, hash, words>>: a window in the first reading, and in the second one if it differs; each where its condition holds."""
     one = lambda k, hash, mark, sure: F.struct(F.lit(k).alias("second"), F.col(hash).alias("hash"), F.transform(words, lambda w: _read(w, mark)).alias("words"), sure.alias("sure"))
@@ -118,6 +129,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     shared = windows(rows, "text").select("doc", F.explode(F.array_union("hashes", "others")).alias("hash")).join(held(bench.select("own", "j", "hash", "of")), "hash")
     counted = shared.select("doc", "own", "of", "j").distinct().groupBy("doc", "own", "of").agg(F.count("*").alias("n"))
     likely = materialise(counted.where(F.col("n") >= F.col("of") * share).select("doc").distinct(), "likely")
+    # items of placeholders alone, by their plain words
+    poor = materialise(_plain_windows(items.select("own", "text").distinct().join(bench.select("own").distinct(), "own", "left_anti"), "text").select("own", F.posexplode("hashes").alias("j", "hash")), "plain-windows")
+    sizes = poor.groupBy("own").agg(F.count("*").alias("of"))
+    verbatim = None
+    if not poor.isEmpty():
+        few = F.broadcast if poor.count() <= BROADCAST_ROWS else (lambda df: df)
+        met = _plain_windows(rows, "text").select("doc", F.explode(F.array_distinct("hashes")).alias("hash")).join(few(poor.join(sizes, "own")), "hash")
+        verbatim = met.groupBy("doc", "own", "of").agg(F.count_distinct("j").alias("windows")).where(F.col("windows") >= F.col("of") * share)
+
     again_held = F.broadcast if likely.count() <= BROADCAST_ROWS else (lambda df: df)
 
     # their slots
@@ -137,5 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     each = sure.groupBy("doc", "own", "of", "reading", "j").agg(F.min(F.coalesce("other", F.lit(False))).alias("other"))
     found = each.groupBy("doc", "own", "of", "reading").agg(F.count("*").alias("windows"), F.max("other").alias("reparameterised"))
     best = found.where(F.col("windows") >= F.col("of") * share).groupBy("doc", "own", "of").agg(F.min(F.struct("reading", "windows", "reparameterised")).alias("best"))
-    named = best.select("doc", "own", "of", "best.windows", "best.reparameterised").join(items.select("own", "item"), "own")
+    best = best.select("doc", "own", "of", "best.windows", "best.reparameterised")
+    if verbatim is not None:
+        best = best.unionByName(verbatim.withColumn("reparameterised", F.lit(False)))
+    named = best.join(items.select("own", "item"), "own")
     return named.select(F.col("doc.key").alias(key), F.col("doc.digest").alias("digest"), F.col("item").alias(item), "windows", "of", "reparameterised")
