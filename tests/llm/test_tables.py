@@ -85,9 +85,10 @@ def test_network_is_normalised_and_carries_its_state():
     net = lm.Network(120)
     rng = np.random.default_rng(0)
     h = rng.standard_normal((1, lm.UNITS)).astype(np.float32)
-    every = np.arange(120 + lm.TAIL)
+    every = np.array([*range(120), *range(net.shared, net.start)])
+    assert len(every) == 120 + lm.LEAST_TAILS * lm.PER_CLASS
     assert np.exp(net.log_probs(np.repeat(h, len(every), 0), every)).sum() == pytest.approx(1, abs=1e-4)
-    docs = [rng.integers(0, 144, n) for n in (1, 5, 64, 65, 200, 130)]
+    docs = [rng.choice(every, n) for n in (1, 5, 64, 65, 200, 130)]
     by_hand = []
     for d in docs:
         state, total, before = np.zeros((1, lm.UNITS), np.float32), 0.0, net.start
@@ -103,7 +104,8 @@ def test_gradients_are_right():
     net = lm.Network(60)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(1)
-    ids, goals = rng.integers(0, 84, (4, 3)), rng.integers(0, 84, (4, 3))
+    every = np.array([*range(60), *range(net.shared, net.start)])
+    ids, goals = rng.choice(every, (4, 3)), rng.choice(every, (4, 3))
     keep, weight, h = np.ones((4, 3)), np.ones((4, 3)), np.zeros((3, lm.UNITS))
     keep[2, 1], weight[3, 2] = 0, 0
 
@@ -114,7 +116,10 @@ def test_gradients_are_right():
             total -= (net.log_probs(state, goals[t]) * weight[t]).sum()
         return total / weight.sum()
 
-    g, _ = net.gradients(h, ids, goals, keep, weight)
+    g, read, _ = net.gradients(h, ids, goals, keep, weight)
+    inputs = np.zeros_like(net.p["input"])
+    inputs[read] = g["input"]
+    g["input"] = inputs
     for name in ("input", "state", "cls", "cls_b", "word"):
         flat, own = net.p[name].reshape(-1), g[name].reshape(-1)
         for i in np.argsort(-abs(own))[:4]:
@@ -132,8 +137,62 @@ def test_training_helps():
     docs = [np.array([0, 1, 2, 3, 4] * rng.integers(3, 9)) for _ in range(40)]
     net = lm.Network(60)
     before = net.score(docs).sum()
-    net.train(docs, streams=8, rounds=6, rate=0.03)
+    assert net.learn(((d, 0) for _ in range(6) for d in docs), rate=0.03, streams=8) == 6 * sum(map(len, docs))
     assert net.score(docs).sum() > before / 3
+    again = lm.Network(60, seed=3)
+    again.unpack(net.packed())
+    assert again.score(docs) == pytest.approx(net.score(docs))
+
+
+def test_untrained_network_is_the_unigram_model():
+    masses = np.array([*range(50, 0, -1), *[0] * 50, *range(400)], float)
+    masses[50:60], masses[60:100] = 7, 0
+    net = lm.Network(60, masses=masses)
+    state = np.zeros((460, lm.UNITS), np.float32)
+    every = np.array([*range(60), *range(100, 500)])
+    found = np.exp(net.log_probs(state, every))
+    assert found == pytest.approx(masses[every] / masses.sum(), abs=2e-3)
+
+
+def test_passages_cover_all_parts():
+    """Over many documents one passage in EVERY is learnt, from any place; what is learnt grows with the corpus."""
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 400, n) for n in rng.integers(1, 3000, 400)]
+    found = [x for d in docs for x in lm.passages(d)]
+    n = sum(-(-len(d) // lm.PASSAGE) for d in docs)
+    assert 0.8 < len(found) * lm.EVERY / n < 1.2 and {r for r, _, _ in found} == set(range(lm.ROUNDS))
+    assert all(len(x) - read <= lm.PASSAGE and read in (0, lm.WINDOW) for _, x, read in found)
+    assert sum(read == 0 for *_, read in found) < len(found) / 2
+    half = [x for d in docs[:200] for x in lm.passages(d)]
+    assert 0.4 < len(half) / len(found) < 0.6
+
+
+def test_scores_by_hand(spark, monkeypatch):
+    """The score of whole documents: every token's class, number and share, with the state carried from the first token to the last."""
+    monkeypatch.setattr(lm, "MAPPED", 500)
+    monkeypatch.setattr(lm, "HEAD", 230)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    learn = language.learnt_from("doc_id", 7, 2)
+    counted = lm.counts(docs.where(learn))
+    model = lm.fit(docs, counted, learn)
+    counts, net = {bytes(r.token): r.c for r in counted.collect()}, model.network
+    heads = sorted(counts, key=lambda t: (-counts[t], t))[:230]
+    assert net.heads == 230 and len(model.table) <= 500 < len(counts)
+    totals = Counter()
+    for t, c in counts.items():
+        if t not in heads:
+            totals[lm.bucket(t, net.tails)] += c + 1
+    scored = {r.doc_id: r.score for r in lm.score(docs, model, counted).collect()}
+    for d in docs.collect():
+        state, before, total = np.zeros((1, lm.UNITS), np.float32), net.start, 0.0
+        for t in lm.tokens_of(d.text):
+            state = net.step(state, np.array([before]))[0]
+            number = heads.index(t) if t in heads else net.shared + lm.bucket(t, net.tails)
+            total += net.log_probs(state, np.array([number]))[0] / math.log(10)
+            if t not in heads:
+                total += math.log10((counts.get(t, 0) + 1) / (totals[lm.bucket(t, net.tails)] + 1))
+            before = number
+        assert scored[d.doc_id] == pytest.approx(total, rel=1e-4)
 
 
 def test_lm_edges(spark):
