@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def rating_distribution(ratings: DataFrame) -> DataFrame:
@@ -68,6 +68,11 @@ def lines(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def list_items(text_lines: DataFrame) -> DataFrame:
-    """One row: rows of a list output and the entries in them."""
+    """One row: rows of a list output, the entries in them, and their bytes."""
     entries = F.size(F.filter(F.split(F.split_part("value", F.lit("\t"), F.lit(2)), ","), lambda x: x.contains(":")))
-    return text_lines.agg(F.count("*").alias("rows"), F.coalesce(F.sum(entries), F.lit(0)).alias("items"))
+    return text_lines.agg(F.count("*").alias("rows"), F.coalesce(F.sum(entries), F.lit(0)).alias("items"), text_bytes())
+
+
+def text_bytes(column: str = "value") -> Column:
+    """``bytes``: the size of text lines as UTF-8, each with its line feed."""
+    return F.coalesce(F.sum(F.octet_length(column) + 1), F.lit(0)).cast("long").alias("bytes")

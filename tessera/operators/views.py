@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions.checks import must_be_empty
+
 
 def titled(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """Rows with title, year and genres; unknown movies are called ``Movie <id>``."""
@@ -26,6 +28,12 @@ def profiles(histories: DataFrame, lists: DataFrame) -> DataFrame:
     return histories.join(lists, "userId", "left").withColumn("recommendations", F.coalesce("recommendations", empty))
 
 
+def checked_profiles(histories: DataFrame, lists: DataFrame) -> DataFrame:
+    """``profiles``, once it is sure that every list's user has a history."""
+    must_be_empty(unknown_users(lists, histories), "a list's user has no history")
+    return profiles(histories, lists)
+
+
 def unknown_users(recommended: DataFrame, ratings: DataFrame) -> DataFrame:
     """Users with recommendations and no history."""
     return recommended.select("userId").distinct().join(ratings.select("userId").distinct(), "userId", "left_anti")

@@ -49,8 +49,7 @@ def work(spark: SparkSession, a: argparse.Namespace) -> None:
     elif a.command == "scoring":
         sinks.write_text(sinks.prediction_lines(scoring.predictions(relations.history(spark, a.history), relations.similarity(spark, a.similarity))), a.output)
     elif a.command == "top-k":
-        relations.unique_histories(spark, a.history)
-        found = topk.recommendations(relations.predictions(spark, a.predictions), relations.history(spark, a.history), a.top_k, check=True)
+        found = topk.recommendations(relations.predictions(spark, a.predictions), relations.history_by_user(spark, a.history), a.top_k, check=True)
         sinks.write_text(sinks.recommendation_lines(found), a.output)
     elif a.command == "split":
         train, test = split.checked_split(relations.unique_ratings(relations.csv_ratings(spark, a.input)))

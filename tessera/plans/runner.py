@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import schemas
 from tessera.config import METHODS, ModelConfig
-from tessera.operators import split as splits, synthetic, topk
-from tessera.operators import pairs as pairing
+from tessera.operators import pairs as pairing, split as splits, stats, synthetic, topk
 from tessera.plans import model
+from tessera.sources import sinks
 
-#: Sizes (users, items, ratings per user) and parameters of the profiles.
+#: The profiles' sizes (users, items, ratings per user) with minimum common users, Top-L and Top-K of each.
 PROFILES = {
-    "smoke": {"sizes": [(25, 50, 10), (100, 100, 10), (200, 150, 15)], "min_common_users": 1, "top_l": 10, "top_k": 5},
-    "standard": {"sizes": [(500, 400, 20), (1000, 600, 25), (2000, 1000, 25)], "min_common_users": 2, "top_l": 50, "top_k": 10},
-    "extended": {"sizes": [(4000, 1500, 25), (8000, 2000, 31), (16000, 3000, 31)], "min_common_users": 2, "top_l": 50, "top_k": 10},
+    "smoke": [(25, 50, 10, 1, 10, 5), (100, 100, 10, 1, 10, 5), (200, 150, 15, 1, 10, 5)],
+    "standard": [(500, 500, 20, 1, 25, 5), (1000, 1000, 25, 2, 50, 10), (2000, 2000, 25, 3, 75, 10)],
+    "extended": [(5000, 5000, 20, 2, 50, 10), (10000, 10000, 25, 3, 75, 20), (20000, 20000, 25, 5, 100, 20)],
 }
 
 
@@ -44,9 +44,8 @@ def experiments(profile: str, repetitions: int = 1, methods: tuple[str, ...] = M
         raise ValueError(f"unknown profile {profile!r}: {', '.join(PROFILES)}")
     if repetitions < 1:
         raise ValueError("repetitions must be at least 1")
-    own = PROFILES[profile]
-    parameters = {k: own[k] for k in ("min_common_users", "top_l", "top_k")}
-    for users, items, each in own["sizes"]:
+    for users, items, each, *rest in PROFILES[profile]:
+        parameters = dict(zip(("min_common_users", "top_l", "top_k"), rest, strict=True))
         for method in methods:
             for r in range(1, repetitions + 1):
                 yield Experiment(profile, method, users, items, each, repetition=r, parameters=parameters)
@@ -69,6 +68,9 @@ def run(spark: SparkSession, experiment: Experiment) -> dict:
         row[f"{name}Seconds"] = time.time() - t
         return df, n
 
+    def size(name: str, lines: DataFrame) -> None:
+        row[name] = lines.agg(stats.text_bytes()).first()[0]
+
     try:
         config = ModelConfig(method=experiment.method, **experiment.parameters)
         row |= {"minCommonUsers": config.min_common_users, "topL": config.top_l, "topK": config.top_k, "relevanceThreshold": config.relevance_threshold, "reducers": int(spark.conf.get("spark.sql.shuffle.partitions"))}
@@ -76,12 +78,19 @@ def run(spark: SparkSession, experiment: Experiment) -> dict:
         train, test = splits.leave_one_out(ratings)
         train, row["trainRows"] = timed("split", train)
         row["testRows"] = test.count()
+        size("ratingsInputBytes", sinks.csv_lines(ratings))
+        size("trainBytes", sinks.csv_lines(train))
         _, row["userHistoryRows"] = timed("userHistory", pairing.histories(train))
+        size("userHistoryBytes", sinks.history_lines(train))
         table, row["itemPairRows"] = timed("pairStatistics", pairing.pair_statistics(train))
+        size("itemPairBytes", sinks.pair_lines(table))
         fitted = model.fit(train, config, table)
         fitted.relations, row["similarityRows"] = timed("similarity", fitted.relations)
+        size("similarityBytes", sinks.similarity_lines(fitted.relations))
         predicted, row["rawPredictionRows"] = timed("scoring", fitted.predictions())
+        size("rawPredictionBytes", sinks.prediction_lines(predicted))
         recommended, row["recommendationItems"] = timed("topK", topk.recommendations(predicted, train, config.top_k))
+        size("recommendationBytes", sinks.recommendation_lines(recommended))
         row["recommendationUsers"] = recommended.select("userId").distinct().count()
         stage, t = "evaluation", time.time()
         found = fitted.evaluation(test)[0].first()
@@ -109,10 +118,10 @@ def run_all(spark: SparkSession, found: Iterator[Experiment], fail_fast: bool =
 
 
 def load_profiles(path: str) -> dict:
-    """Profiles from JSON, in the form of ``PROFILES``; each needs sizes and positive parameters."""
+    """Profiles from JSON, in the form of ``PROFILES``: six positive whole numbers for each size."""
     with open(path) as f:
         found = json.load(f)
     for name, own in found.items():
-        if not own.get("sizes") or any(own.get(k, 0) < 1 for k in ("min_common_users", "top_l", "top_k")):
+        if not own or any(len(size) != 6 or any(type(x) is not int or x < 1 for x in size) for size in own):
             raise ValueError(f"profile {name!r} lacks sizes or positive parameters")
     return found

@@ -66,7 +66,8 @@ def header_block_stats(classified: DataFrame) -> DataFrame:
 
 
 def _colons(spark: SparkSession, path: str, n: int, what: str) -> tuple[DataFrame, list[Column], Column]:
-    rows = numbered_lines(spark, path, "ISO-8859-1")
+    # lines are independent, so files stay split; the text scan keeps the bytes as they are
+    rows = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
     parts = F.split("line", "::", n if what == "movie" else -1)
     fine = checks.checked(F.size(parts) == n, F.col("line"), "string", checks.told(f"a {what} must have {n} fields", F.col("line")))
     split = rows.select(F.split(fine, "::", n if what == "movie" else -1).alias("f"), "line")
@@ -119,7 +120,8 @@ def file_set(spark: SparkSession, path: str, files: int = 15) -> list[str]:
 
 def three_columns(spark: SparkSession, path: str) -> DataFrame:
     """D3 from ``user,movie,rating`` files mv_<movie>.txt; the movie must be the file's. Blank lines are ignored."""
-    rows = numbered_lines(spark, path, pattern="mv_*.txt").where(F.trim("line") != "")
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "mv_*.txt").text(path)
+    rows = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where(F.trim("line") != "")
     line, parts = F.col("line"), F.split("line", ",", -1)
     fine = checks.checked(F.size(parts) == 3, line, "string", checks.told("a rating must have 3 fields", line))
     named = F.regexp_extract("path", r"mv_(\d+)\.txt$", 1).try_cast("long")
@@ -152,7 +154,7 @@ def sniff(spark: SparkSession, path: str) -> str:
 
 def movie_titles(spark: SparkSession, path: str) -> DataFrame:
     """D11 (no genres) from ``id,title`` or ``id,year,title``; further commas belong to the title."""
-    rows = numbered_lines(spark, path)
+    rows = spark.read.text(path).select(F.col("value").alias("line"))
     line, f = F.col("line"), F.split("line", ",", -1)
     long = F.size(f) >= 3
     year = F.when(long, F.trim(f[1])).otherwise(F.lit(""))

@@ -35,12 +35,16 @@ def ratings(spark: SparkSession, path: str, header: str = "anywhere") -> DataFra
 
 
 def _checked_header(spark: SparkSession, path: str, header: str) -> DataFrame:
-    """The lines after the first of each file, which must be the header."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("whole"))
-    ends = F.regexp_replace(F.regexp_replace("whole", "^﻿", ""), r"\r\n?", "\n")
-    split = F.split(F.regexp_replace(ends, r"\n\z", ""), "\n", -1)
-    fine = checks.checked(split[0] == header, ends, "string", checks.told(f"the first line must be {header}", split[0]))
-    return rows.select(F.explode(F.slice(F.split(F.regexp_replace(fine, r"\n\z", ""), "\n", -1), F.lit(2), F.lit(2**31 - 1))).alias("value"))
+    """(value): the lines but each file's header, which must be its first line and occur there alone.
+
+    Files stay split: what is gathered is one row per file, its first line by the order in which a task reads it.
+    """
+    line = F.regexp_replace("value", "^\ufeff", "")
+    rows = lines(spark, path).select(line.alias("value"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    placed = rows.withColumn("__at", F.struct("__start", F.monotonically_increasing_id()))
+    files = placed.groupBy("__file").agg(F.min_by("value", "__at").alias("__first"), F.count_if(F.col("value") == header).alias("__n"))
+    fine = checks.checked((F.col("__first") == header) & (F.col("__n") == 1), F.col("__file"), "string", checks.told(f"the first line must be {header}, and no other", F.col("__first")))
+    return rows.where(F.col("value") != header).join(files.select(fine.alias("__file")), "__file").select("value")
 
 
 def csv_ratings(spark: SparkSession, path: str) -> DataFrame:
@@ -78,16 +82,20 @@ def _entries(text: Column, line: Column) -> Column:
     return F.when(fine, entries).otherwise(F.raise_error(checks.told("a list entry must be two parts with a colon", line)).cast("array<array<string>>"))
 
 
-def _listed(spark: SparkSession, path: str, what: str) -> DataFrame:
+def _listed(texts: DataFrame, what: str) -> DataFrame:
     """(userId, place, a, b, value, n): a row per entry of the lines ``user<TAB>a:b,...``."""
-    split, f, line = _fields(lines(spark, path), "\t", 2, what)
+    split, f, line = _fields(texts, "\t", 2, what)
     rows = split.select(checks.positive_id(f[0], "userId", line).alias("userId"), _entries(f[1], line).alias("entries"), line.alias("value"))
     return rows.select("userId", "value", F.size("entries").alias("n"), F.posexplode("entries").alias("place", "e")).select("userId", "place", F.col("e")[0].alias("a"), F.col("e")[1].alias("b"), "value", "n")
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
     """(userId, movieId, rating) of history lines; a movie that is repeated in a line fails."""
-    rows = _listed(spark, path, "a history").select("userId", "value", checks.positive_id(F.col("a"), "movieId", F.col("value")).alias("movieId"), checks.star_rating(F.col("b"), F.col("value")).alias("rating"))
+    return _history(lines(spark, path))
+
+
+def _history(texts: DataFrame) -> DataFrame:
+    rows = _listed(texts, "a history").select("userId", "value", checks.positive_id(F.col("a"), "movieId", F.col("value")).alias("movieId"), checks.star_rating(F.col("b"), F.col("value")).alias("rating"))
     return checks.one_per_key(rows, ["userId", "movieId", "value"], ["rating"], "a movie is repeated in a history", identical="fail").select("userId", "movieId", "rating")
 
 
@@ -98,6 +106,11 @@ def unique_histories(spark: SparkSession, path: str) -> DataFrame:
     return checks.one_per_key(rows, ["userId"], ["list"], "conflicting histories")
 
 
+def history_by_user(spark: SparkSession, path: str) -> DataFrame:
+    """(userId, movieId, rating) of the lines of ``unique_histories``: what ranking removes watched movies by."""
+    return _history(unique_histories(spark, path).select(F.concat_ws("\t", F.col("userId").cast("string"), "list").alias("value")))
+
+
 def pair_stats(spark: SparkSession, path: str) -> DataFrame:
     """D5 lines ``i,j<TAB>n,sumXY,sumX2,sumY2`` with i < j and positive sums."""
     split, f, line = _fields(lines(spark, path), "[,\t]", 6, "pair statistics")

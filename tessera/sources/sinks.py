@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tessera import schemas
 from tessera.functions.numbers import ten_text
@@ -18,6 +18,11 @@ def history_lines(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("userId").agg(text.alias("text")).select("userId", F.concat_ws("\t", F.col("userId").cast("string"), "text").alias("value"))
 
 
+def csv_lines(ratings: DataFrame) -> DataFrame:
+    """(value): normalized ratings, without their header."""
+    return ratings.select(F.concat_ws(",", *[F.col(c).cast("string") for c in schemas.RATINGS_HEADER.split(",")]).alias("value"))
+
+
 def pair_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.format_string("%d,%d\t%d,%d,%d,%d", *[F.col(c) for c in schemas.PAIR_STATS.names]).alias("value"))
 
@@ -42,10 +47,9 @@ def write_text(lines: DataFrame, path: str, one_file: bool = False) -> None:
     (lines.select("value").coalesce(1) if one_file else lines.select("value")).write.mode("errorifexists").text(path)
 
 
-def write_csv(rows: DataFrame, path: str, order: list[str], one_file: bool = True) -> None:
-    """A CSV with a header, blank for null, in the given order."""
-    ordered = rows.orderBy(*order)
-    (ordered.coalesce(1) if one_file else ordered).write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+def write_csv(rows: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
+    """A CSV with a header, blank for null, in the given order over its part files; ``one_file`` sorts them into one, for small results."""
+    (rows.coalesce(1).sortWithinPartitions(*order) if one_file else rows.orderBy(*order)).write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def ratings_csv(ratings: DataFrame) -> DataFrame:
@@ -93,6 +97,25 @@ def per_user_csv(users: DataFrame) -> DataFrame:
     return users.select(*[text(c) if kind == "double" else F.col(c) for c, kind in users.dtypes])
 
 
-def report_table(rows: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
-    """A report's table: the named columns of rows, in order."""
-    return rows.select(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+#: The columns of the report's tables.
+METHOD_TABLES = {
+    "rating_metrics": "method predictionCoverage mae rmse matchedPredictions missingPredictions".split(),
+    "ranking_metrics": "method precisionAtK recallAtK hitRateAtK ndcgAtK mrrAtK".split(),
+    "runtime_comparison": "method userHistorySeconds pairStatisticsSeconds similaritySeconds scoringSeconds topKSeconds evaluationSeconds totalPipelineSeconds".split(),
+}
+STAGE_TABLE = "stage status elapsedSeconds outputRows outputBytes".split()
+#: Fields of the dataset and split tables, and the statistics that they come from.
+DATASET_FIELDS = {"ratingsRows": "ratingRows", "users": "distinctUsers", "ratedMovies": "distinctRatedMovies"}
+SPLIT_FIELDS = {"trainRows": "trainRows", "testRows": "testRows", "trainTestOverlapRows": "trainTestOverlapRows"}
+
+
+def report_table(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A report's table of a row per method or stage: the named columns as text, blank where there is none."""
+    blank = F.lit("")
+    return rows.select(*[(F.coalesce(F.col(c).cast("string"), blank) if c in rows.columns else blank).alias(c) for c in columns])
+
+
+def fact_table(row: DataFrame, fields: dict[str, str], source: str) -> DataFrame:
+    """(field, value, source) of a one-row relation, a row per field; blank where there is no value."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in row.columns else F.lit("")
+    return row.select(F.inline(F.array(*[F.struct(F.lit(name).alias("field"), value(c).alias("value"), F.lit(source).alias("source")) for name, c in fields.items()])))

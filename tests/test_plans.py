@@ -65,7 +65,9 @@ def test_views(spark):
     assert (c.watchedViolations, c.orderViolations, c.scoreViolations, c.unknownUsers, c.userCoverage) == (0, 0, 1, 1, 0.5)
     wrong = spark.createDataFrame([(1, 1, 3, 4.0), (1, 2, 4, 4.5), (1, 3, 2, 4.5)], recommended.schema)
     assert rows(views.order_errors(wrong), "movieId") == [(2,), (4,)]
-    assert rows(stats.list_items(sinks.recommendation_lines(recommended))) == [(2, 3)]
+    assert rows(stats.list_items(sinks.recommendation_lines(recommended))) == [(2, 3, 2 * len("1\t3:4.5000000000") + len(",4:4.5000000000") + 2)]
+    with pytest.raises(ValueError, match="no history"):
+        views.checked_profiles(pairs.histories(ratings), __import__("tessera.operators.topk", fromlist=["x"]).lists(recommended))
     assert rows(views.profiles(pairs.histories(ratings), __import__("tessera.operators.topk", fromlist=["x"]).lists(recommended)).select("userId", F.size("recommendations"))) == [(1, 2), (2, 0)]
     shown = ratings.limit(1).select(views.metric_text(F.lit(0.5), "percent"), views.metric_text(F.lit(None).cast("double"), "number"), views.metric_text(F.lit(3), "count")).first()
     assert tuple(shown) == ("50.000%", "N/A", "3")
@@ -83,6 +85,8 @@ def test_synthetic(spark):
     made = synthetic.ratings(spark, 30, 40, 10)
     assert made.count() == 300 == made.select("userId", "movieId").distinct().count()
     assert made.select("movieId").distinct().count() == 40
+    few = synthetic.ratings(spark, 4, 30, 8)
+    assert few.count() == 32 == few.select("userId", "movieId").distinct().count() and few.select("movieId").distinct().count() == 30
     assert rows(made) == rows(synthetic.ratings(spark, 30, 40, 10)) != rows(synthetic.ratings(spark, 30, 40, 10, seed=1))
     assert stats.synthetic(made).first().distinctUsers == 30
     assert made.where("rating NOT BETWEEN 1 AND 5").isEmpty()
@@ -94,6 +98,8 @@ def test_runner(spark):
     found = list(runner.experiments("smoke", methods=("cosine",)))
     row = runner.run(spark, found[0])
     assert row["status"] == "completed" and row["ratingsRows"] == 250 and list(row) == schemas.BENCH_COLUMNS
+    assert all(row[c] > 0 for c in schemas.BENCH_BYTES) and row["minCommonUsers"] == 1
+    assert [(e.users, e.items, e.parameters["top_l"]) for e in runner.experiments("extended", methods=("cosine",))] == [(5000, 5000, 50), (10000, 10000, 75), (20000, 20000, 100)]
     bad = runner.Experiment("smoke", "cosine", 5, 5, 9, parameters={})
     failed = runner.run_all(spark, iter([bad, found[0]]), fail_fast=True)
     assert len(failed) == 1 and failed[0]["status"] == "failed" and failed[0]["errorMessage"]
@@ -188,6 +194,17 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["similarity", "--input", to("p"), "--output", to("s2"), "--top-l", "0"]) == 2
 
 
+def test_top_k_history_rows(spark, tmp_path):
+    """Of one user's history lines identical ones are ignored, different ones fail."""
+    put = lambda name, text: ((tmp_path / name).write_text(text), str(tmp_path / name))[1]
+    scores = put("q", "101,3\t3.8000000000\n101,1\t5.0000000000\n")
+    run = lambda history, name: cli.main(["--local", "top-k", "--history", put(f"h-{name}", history), "--predictions", scores, "--output", str(tmp_path / name)])
+    assert run("101\t1:5\n101\t1:5\n", "same") == 0
+    assert [r.value for r in spark.read.text(str(tmp_path / "same")).collect()] == ["101\t3:3.8000000000"]
+    assert run("101\t1:5\n101\t1:4\n", "other") == 1 and run("101\t1:5\n101\t2:5\n", "third") == 1
+    assert run("102\t1:5\n", "none") == 1
+
+
 def test_writers(spark, tmp_path):
     m = spark.createDataFrame([(10, 4, 3, 2, 0.75, None)], "k int, relevance_threshold int, test_rows int, matched_test_predictions int, prediction_coverage double, rmse double")
     assert json.loads(sinks.metrics_json(m))["rmse"] is None

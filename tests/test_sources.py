@@ -45,6 +45,23 @@ def test_csv_header_must_come_first(spark, put):
     assert rows(relations.csv_ratings(spark, put("a.csv", HEADER + "007,1,5,2005-01-01\n")), "userId") == [(7,)]
     with pytest.raises(Exception, match="first line"):
         relations.csv_ratings(spark, put("b.csv", "1,1,5,2005-01-01\n")).collect()
+    for n, text in enumerate(("1,1,5,2005-01-01\n" + HEADER, HEADER + "1,1,5,2005-01-01\n" + HEADER, "\n" + HEADER)):
+        with pytest.raises(Exception, match="first line"):
+            relations.csv_ratings(spark, put(f"c{n}.csv", text)).collect()
+    assert rows(relations.csv_ratings(spark, put("d.csv", "\ufeff" + HEADER + "7,1,5,2005-01-01\r\n8,1,5,2005-01-01")), "userId") == [(7,), (8,)]
+
+
+def test_header_of_split_files(spark, put, monkeypatch):
+    """Files larger than a split: the header is told by each file's first split, and no file is read as one record."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for i in range(3):
+            put(f"many/f{i}.csv", HEADER + "".join(f"{1000 * i + n},{n},5,2005-01-01\n" for n in range(1, 301)))
+        found = relations.csv_ratings(spark, put("many/f3.csv", HEADER).rsplit("/", 1)[0])
+        assert found.count() == 900 and spark.read.text(put("many/f3.csv", HEADER).rsplit("/", 1)[0]).rdd.getNumPartitions() > 6
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_timestamped(spark, put):
@@ -93,7 +110,13 @@ def test_header_blocks(spark, put, tmp_path):
     s = raw.header_block_stats(found).first().asDict()
     assert (s["files_processed"], s["movie_headers"], s["input_rating_rows"], s["valid_rating_rows"], s["blank_lines"], s["duplicate_rows_removed"], s["output_rows"]) == (2, 3, 13, 5, 1, 1, 4)
     assert [s[r] for r in raw.REJECT_REASONS] == [1, 1, 1, 1, 1, 1, 2]
-    assert raw.sniff(spark, str(tmp_path / "n")) == "three-column" or raw.sniff(spark, str(tmp_path / "n")) == "header-block"
+    # the first file by path is deep/mv_0000002.txt
+    assert raw.sniff(spark, str(tmp_path / "n")) == "three-column"
+    put("o/mv_0000001.txt", "\n 1:\n5,3,2005-01-01\n")
+    assert raw.sniff(spark, str(tmp_path / "o")) == "header-block"
+    put("z/mv_0000001.txt", "a;b\n")
+    with pytest.raises(ValueError, match="unknown"):
+        raw.sniff(spark, str(tmp_path / "z"))
 
 
 def test_colon_files(spark, put):
