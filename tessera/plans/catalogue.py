@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.config import ModelConfig
 from tessera.operators import benchmarks, evaluate, pairs, scoring, similarity, split, stats, topk, views
-from tessera.plans import model
+from tessera.plans import model, shared
 from tessera.sources import sinks
 
 CONFIG = ModelConfig(method="cosine", min_common_users=2, top_l=50, top_k=10, relevance_threshold=4)
@@ -42,9 +42,13 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("userId", "movieId", "best.rating", "best.ts")
 
 
+def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ratings`` as a table that is written once: the model's plans read it several times."""
+    return shared.table(spark, lambda: ratings(spark, sf_dir), sf_dir, "ratings")
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second part, so that some movies have no metadata."""
-    part = _table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    part = _table(spark, sf_dir, "part")
     return part.select((F.col("p_partkey") + 1).alias("movieId"), F.col("p_name").alias("title"), (F.col("p_size") + 1950).alias("year"), F.concat_ws("|", "p_brand", "p_type").alias("genres"))
 
 
@@ -62,12 +66,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fit(spark: SparkSession, sf_dir: str, config: ModelConfig) -> model.Model:
-    return model.fit(ratings(spark, sf_dir).select("userId", "movieId", "rating"), config)
+    return model.fit(rated(spark, sf_dir).select("userId", "movieId", "rating"), config)
 
 
-def _split_model(spark: SparkSession, sf_dir: str) -> tuple[model.Model, DataFrame]:
-    train, test = split.leave_one_out(ratings(spark, sf_dir), "ts")
-    return model.fit(train.select("userId", "movieId", "rating"), CONFIG), test.select("userId", "movieId", "rating")
+def split_model(spark: SparkSession, sf_dir: str) -> tuple[model.Model, DataFrame, DataFrame]:
+    """The model of the training ratings, its predictions (a table written once, as the evaluation reads them three times), and the test ratings."""
+    train, test = split.leave_one_out(rated(spark, sf_dir), "ts")
+    fitted = model.fit(train.select("userId", "movieId", "rating"), CONFIG)
+    return fitted, shared.table(spark, fitted.predictions, sf_dir, "split-predictions"), test.select("userId", "movieId", "rating")
 
 
 # ---- SQL parts -------------------------------------------------------------------------------------------
@@ -134,7 +140,7 @@ def _model_sql(config: ModelConfig, training: str = TRAIN_ALL) -> tuple[str, ...
     return training, PAIRS_SQL, _relations_sql(config), _predictions_sql(config), _top_sql(config)
 
 
-METADATA_SQL = "metadata AS (SELECT p_partkey + 1 AS movieId, p_name AS title, p_size + 1950 AS year, p_brand || '|' || p_type AS genres FROM part WHERE p_partkey % 2 = 0)"
+METADATA_SQL = "metadata AS (SELECT p_partkey + 1 AS movieId, p_name AS title, p_size + 1950 AS year, p_brand || '|' || p_type AS genres FROM part)"
 _metric = lambda c: f"CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 10) / CAST(10 AS DOUBLE) END AS {c}"
 _stage = lambda i, n: f"CASE WHEN c_custkey % {i + 5} <> 0 THEN floor(abs(c_acctbal) * 100 / {i + 1}) END AS {n}"
 _STAGES = "splitSeconds userHistorySeconds pairStatisticsSeconds similaritySeconds scoringSeconds topKSeconds evaluationSeconds".split()
@@ -172,28 +178,28 @@ def _round_sql(columns: str, rounded: str, digits: int = 9) -> str:
 # ---- ratings, histories, pairs ---------------------------------------------------------------------------
 
 _add("ratings_view", lambda s, d: ratings(s, d).select("userId", "movieId", "rating"), _with() + "SELECT userId, movieId, rating FROM ratings")
-_add("rating_distribution", lambda s, d: stats.rating_distribution(ratings(s, d)), _with() + "SELECT rating, count(*) AS ratings FROM ratings GROUP BY 1")
+_add("rating_distribution", lambda s, d: stats.rating_distribution(rated(s, d)), _with() + "SELECT rating, count(*) AS ratings FROM ratings GROUP BY 1")
 _add(
-    "dataset_stats", lambda s, d: _rounded(stats.dataset(ratings(s, d)), "ratingsPerUserAverage", "ratingsPerMovieAverage"),
+    "dataset_stats", lambda s, d: _rounded(stats.dataset(rated(s, d)), "ratingsPerUserAverage", "ratingsPerMovieAverage"),
     _with("u AS (SELECT count(*) AS c FROM ratings GROUP BY userId)", "m AS (SELECT count(*) AS c FROM ratings GROUP BY movieId)") + """
     SELECT count(*) AS ratingRows, min(userId) AS minimumUserId, max(userId) AS maximumUserId, min(movieId) AS minimumMovieId, max(movieId) AS maximumMovieId, min(rating) AS minimumRating, max(rating) AS maximumRating,
            (SELECT count(*) FROM u) AS distinctUsers, (SELECT min(c) FROM u) AS ratingsPerUserMinimum, (SELECT max(c) FROM u) AS ratingsPerUserMaximum, (SELECT round(avg(c), 9) FROM u) AS ratingsPerUserAverage,
            (SELECT count(*) FROM m) AS distinctRatedMovies, (SELECT min(c) FROM m) AS ratingsPerMovieMinimum, (SELECT max(c) FROM m) AS ratingsPerMovieMaximum, (SELECT round(avg(c), 9) FROM m) AS ratingsPerMovieAverage
     FROM ratings""",
 )
-_add("ratings_per_movie", lambda s, d: stats.ratings_per_movie(ratings(s, d)), _with() + "SELECT movieId, count(*) AS ratings FROM ratings GROUP BY 1")
-_add("user_history_long", lambda s, d: pairs.long_form(pairs.histories(ratings(s, d))), _with() + "SELECT userId, movieId, rating FROM ratings")
+_add("ratings_per_movie", lambda s, d: stats.ratings_per_movie(rated(s, d)), _with() + "SELECT movieId, count(*) AS ratings FROM ratings GROUP BY 1")
+_add("user_history_long", lambda s, d: pairs.long_form(pairs.histories(rated(s, d))), _with() + "SELECT userId, movieId, rating FROM ratings")
 _HISTORY_SQL = "SELECT userId, userId || chr(9) || string_agg(movieId || ':' || rating, ',' ORDER BY movieId) AS value FROM ratings GROUP BY userId"
-_add("user_history_text", lambda s, d: sinks.history_lines(ratings(s, d)), _with() + _HISTORY_SQL)
+_add("user_history_text", lambda s, d: sinks.history_lines(rated(s, d)), _with() + _HISTORY_SQL)
 _add(
-    "pair_contribution_estimate", lambda s, d: pairs.pair_estimate(ratings(s, d)),
+    "pair_contribution_estimate", lambda s, d: pairs.pair_estimate(rated(s, d)),
     _with("u AS (SELECT count(*) AS c FROM ratings GROUP BY userId)") + "SELECT count(*) AS users, count(*) FILTER (c = 1) AS singleItemUsers, CAST(coalesce(sum(c * (c - 1) // 2), 0) AS BIGINT) AS pairContributions FROM u",
 )
 _PAIR_COLUMNS = "movieI, movieJ, commonUsers, sumXY, sumX2, sumY2"
-_add("pair_stats", lambda s, d: pairs.pair_statistics(ratings(s, d)), _with(TRAIN_ALL, PAIRS_SQL) + f"SELECT {_PAIR_COLUMNS} FROM pairs")
-_add("pair_stats_min_support", lambda s, d: similarity.supported(pairs.pair_statistics(ratings(s, d)), 2), _with(TRAIN_ALL, PAIRS_SQL) + f"SELECT {_PAIR_COLUMNS} FROM pairs WHERE commonUsers >= 2")
+_add("pair_stats", lambda s, d: pairs.pair_statistics(rated(s, d)), _with(TRAIN_ALL, PAIRS_SQL) + f"SELECT {_PAIR_COLUMNS} FROM pairs")
+_add("pair_stats_min_support", lambda s, d: similarity.supported(pairs.pair_statistics(rated(s, d)), 2), _with(TRAIN_ALL, PAIRS_SQL) + f"SELECT {_PAIR_COLUMNS} FROM pairs WHERE commonUsers >= 2")
 _add(
-    "pair_text", lambda s, d: sinks.pair_lines(similarity.supported(pairs.pair_statistics(ratings(s, d)), 2)),
+    "pair_text", lambda s, d: sinks.pair_lines(similarity.supported(pairs.pair_statistics(rated(s, d)), 2)),
     _with(TRAIN_ALL, PAIRS_SQL) + "SELECT format('{},{}', movieI, movieJ) || chr(9) || format('{},{},{},{}', commonUsers, sumXY, sumX2, sumY2) AS value FROM pairs WHERE commonUsers >= 2",
 )
 
@@ -210,12 +216,12 @@ for _config, _name in ((CONFIG, "cosine"), (COOCCURRENCE, "cooccurrence")):
     )
     _add(f"topk_{_name}", lambda s, d, c=_config: _fit(s, d, c).recommendations(), _with(*_model_sql(_config)) + "SELECT userId, rank, movieId, score FROM recommended")
 _add(
-    "similarity_directed", lambda s, d: _rounded(similarity.best_per_relation(similarity.cosine(similarity.supported(pairs.pair_statistics(ratings(s, d)), 2))), "similarity"),
+    "similarity_directed", lambda s, d: _rounded(similarity.best_per_relation(similarity.cosine(similarity.supported(pairs.pair_statistics(rated(s, d)), 2))), "similarity"),
     _with(TRAIN_ALL, PAIRS_SQL, _relations_sql(CONFIG)) + "SELECT sourceId, neighborId, round(similarity, 9) AS similarity, commonUsers FROM scored",
 )
 _add(
     "cooccurrence_row_sums",
-    lambda s, d: similarity.cooccurrence(similarity.supported(pairs.pair_statistics(ratings(s, d)), 2)).groupBy("sourceId").agg(F.round(F.sum("similarity"), 9).alias("rowSum"), F.sum("commonUsers").alias("denominator")),
+    lambda s, d: similarity.cooccurrence(similarity.supported(pairs.pair_statistics(rated(s, d)), 2)).groupBy("sourceId").agg(F.round(F.sum("similarity"), 9).alias("rowSum"), F.sum("commonUsers").alias("denominator")),
     _with(TRAIN_ALL, PAIRS_SQL, _relations_sql(COOCCURRENCE)) + "SELECT sourceId, round(sum(similarity), 9) AS rowSum, CAST(sum(commonUsers) AS BIGINT) AS denominator FROM scored GROUP BY 1",
 )
 
@@ -229,9 +235,11 @@ _add(
     "topk_text", lambda s, d: sinks.recommendation_lines(_fit(s, d, CONFIG).recommendations()),
     _with(*_model_sql(CONFIG)) + "SELECT userId, userId || chr(9) || string_agg(movieId || ':' || printf('%.10f', score), ',' ORDER BY rank) AS value FROM recommended GROUP BY userId",
 )
+#: Histories before a date: users who came later have predictions and none of them.
+EARLY = "1995-04-01"
 _add(
-    "prediction_user_without_history", lambda s, d: topk.without_history(_fit(s, d, CONFIG).predictions().where("userId % 3 = 0"), ratings(s, d).where("userId % 2 = 0")),
-    _with(*_model_sql(CONFIG)[:-1]) + "SELECT DISTINCT userId FROM predicted WHERE userId % 3 = 0 AND userId NOT IN (SELECT userId FROM ratings WHERE userId % 2 = 0)",
+    "prediction_user_without_history", lambda s, d: topk.without_history(_fit(s, d, CONFIG).predictions(), rated(s, d).where(F.col("ts") < EARLY)),
+    _with(*_model_sql(CONFIG)[:-1]) + f"SELECT DISTINCT userId FROM predicted WHERE userId NOT IN (SELECT userId FROM ratings WHERE ts < '{EARLY}')",
 )
 
 # ---- splits ----------------------------------------------------------------------------------------------
@@ -239,58 +247,61 @@ _add(
 for _by, _sql in (("ts", SPLIT_SQL), ("item", SPLIT_SQL.replace("ts DESC, movieId DESC", "movieId DESC"))):
     for _i, _part in enumerate(("train", "test")):
         _name = f"split_{_part}" if _by == "ts" else f"split_by_item_{_part}"
-        _add(_name, lambda s, d, b=_by, i=_i: split.leave_one_out(ratings(s, d), b)[i].select("userId", "movieId", "rating"), _with(_sql) + f"SELECT userId, movieId, rating FROM {_part}")
+        _add(_name, lambda s, d, b=_by, i=_i: split.leave_one_out(rated(s, d), b)[i].select("userId", "movieId", "rating"), _with(_sql) + f"SELECT userId, movieId, rating FROM {_part}")
 _add(
-    "split_stats", lambda s, d: _rounded(split.statistics(*split.leave_one_out(ratings(s, d), "ts")), "avgTrainRatingsPerUser", "trainPercentage", "testPercentage"),
+    "split_stats", lambda s, d: _rounded(split.statistics(*split.leave_one_out(rated(s, d), "ts")), "avgTrainRatingsPerUser", "trainPercentage", "testPercentage"),
     _with(SPLIT_SQL, "u AS (SELECT count(*) AS c FROM train GROUP BY userId)") + """
     SELECT (SELECT count(*) FROM train) AS trainRows, (SELECT count(*) FROM u) AS trainUsers, (SELECT min(c) FROM u) AS minTrainRatingsPerUser, (SELECT max(c) FROM u) AS maxTrainRatingsPerUser,
            (SELECT round(avg(c), 9) FROM u) AS avgTrainRatingsPerUser, (SELECT count(*) FROM test) AS testRows, (SELECT count(DISTINCT movieId) FROM test) AS testItems, (SELECT count(DISTINCT movieId) FROM train) AS trainItems,
-           (SELECT count(DISTINCT movieId) FROM test WHERE movieId NOT IN (SELECT movieId FROM train)) AS coldStartTestItems, CAST(0 AS BIGINT) AS trainTestOverlapRows, count(*) AS inputRatings,
+           (SELECT count(DISTINCT movieId) FROM test WHERE movieId NOT IN (SELECT movieId FROM train)) AS coldStartTestItems,
+           (SELECT count(*) FROM test e JOIN train t ON t.userId = e.userId AND t.movieId = e.movieId) AS trainTestOverlapRows, count(*) AS inputRatings,
            round((SELECT count(*) FROM train) / CAST(count(*) AS DOUBLE), 9) AS trainPercentage, round((SELECT count(*) FROM test) / CAST(count(*) AS DOUBLE), 9) AS testPercentage,
            (SELECT count(*) FROM u) - (SELECT count(*) FROM test) AS usersWithoutTest
     FROM ratings""",
 )
-_add("cold_start_items", lambda s, d: split.cold_start_items(*split.leave_one_out(ratings(s, d).where("movieId % 50 < 3"), "ts")), _with(SPLIT_SQL.replace("FROM ratings", "FROM ratings WHERE movieId % 50 < 3")) + "SELECT DISTINCT movieId FROM test WHERE movieId NOT IN (SELECT movieId FROM train)")
+_ITEM_SQL = SPLIT_SQL.replace("ts DESC, movieId DESC", "movieId DESC")
+_TIME_SQL = SPLIT_SQL.replace("marked", "marked_by_time").replace("train AS", "train_by_time AS").replace("test AS", "test_by_time AS")
+# the split by item holds out each user's highest movie, so movies that are everybody's highest are cold
+_add("cold_start_items", lambda s, d: split.cold_start_items(*split.leave_one_out(rated(s, d), "item")), _with(_ITEM_SQL) + "SELECT DISTINCT movieId FROM test WHERE movieId NOT IN (SELECT movieId FROM train)")
 _add(
-    "train_test_overlap", lambda s, d: split.overlap(ratings(s, d).where("rating >= 3"), ratings(s, d).where("rating <= 3")),
-    _with() + "SELECT userId, movieId FROM ratings WHERE rating >= 3 INTERSECT SELECT userId, movieId FROM ratings WHERE rating <= 3",
+    "train_test_overlap", lambda s, d: split.overlap(split.leave_one_out(rated(s, d), "ts")[0], split.leave_one_out(rated(s, d), "item")[1]),
+    _with(_ITEM_SQL, _TIME_SQL) + "SELECT userId, movieId FROM train_by_time INTERSECT SELECT userId, movieId FROM test",
 )
 _add(
-    "late_training_users", lambda s, d: split.late_training(ratings(s, d).where("movieId % 2 = 0"), split.leave_one_out(ratings(s, d).where("movieId % 2 = 1"), "ts")[1], "ts").select("userId"),
-    _with(SPLIT_SQL.replace("FROM ratings", "FROM ratings WHERE movieId % 2 = 1")) + "SELECT t.userId FROM test t JOIN (SELECT userId, max(ts) AS last FROM ratings WHERE movieId % 2 = 0 GROUP BY 1) l ON l.userId = t.userId WHERE last > t.ts",
+    "late_training_users", lambda s, d: split.late_training(*split.leave_one_out(rated(s, d), "item"), "ts").select("userId"),
+    _with(_ITEM_SQL) + "SELECT t.userId FROM test t JOIN (SELECT userId, max(ts) AS last FROM train GROUP BY 1) l ON l.userId = t.userId WHERE last > t.ts",
 )
 
 # ---- evaluation ------------------------------------------------------------------------------------------
 
 
-def _per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted, test = _split_model(spark, sf_dir)
-    return fitted.evaluation(test)[1]
+def evaluation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(metrics, per-user diagnostics)."""
+    fitted, predicted, test = split_model(spark, sf_dir)
+    return fitted.evaluation(test, predicted)
 
 
 _USER_COLUMNS = "userId testMovieId actualRating predictedScore absoluteError squaredError isRelevant recommendationRank hit ndcg mrr recommendationCount"
-_USER_ROUNDED = "absoluteError squaredError ndcg mrr"
-_add("per_user_metrics", lambda s, d: _rounded(_per_user(s, d), *_USER_ROUNDED.split()), _with(*_model_sql(CONFIG, SPLIT_SQL), PER_USER_SQL) + f"SELECT {_round_sql(_USER_COLUMNS, _USER_ROUNDED)} FROM users")
-
-
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted, test = _split_model(spark, sf_dir)
-    return _rounded(fitted.evaluation(test)[0], *"prediction_coverage mae rmse recommendation_user_coverage precision_at_k recall_at_k hit_rate_at_k ndcg_at_k mrr_at_k".split())
+#: The logarithm alone may differ in its last digit; scores have ten decimals, so errors would be ties of a rounding.
+_USER_ROUNDED = "ndcg"
+_add("per_user_metrics", lambda s, d: _rounded(evaluation(s, d)[1], *_USER_ROUNDED.split()), _with(*_model_sql(CONFIG, SPLIT_SQL), PER_USER_SQL) + f"SELECT {_round_sql(_USER_COLUMNS, _USER_ROUNDED)} FROM users")
 
 
+METRICS_ROUNDED = "prediction_coverage mae rmse recommendation_user_coverage precision_at_k recall_at_k hit_rate_at_k ndcg_at_k mrr_at_k".split()
 _mean_sql = lambda c, name: f"round(coalesce(avg({c}) FILTER (isRelevant), 0), 9) AS {name}"
 _add(
-    "eval_metrics", _metrics,
+    "eval_metrics", lambda s, d: _rounded(evaluation(s, d)[0], *METRICS_ROUNDED),
     _with(*_model_sql(CONFIG, SPLIT_SQL), PER_USER_SQL) + f"""
     SELECT 'leave-one-out-by-time' AS evaluation_method, 10 AS k, 4 AS relevance_threshold, count(*) AS test_rows, count(predictedScore) AS matched_test_predictions, count(*) - count(predictedScore) AS missing_test_predictions,
            round(count(predictedScore) / CAST(count(*) AS DOUBLE), 9) AS prediction_coverage, round(avg(absoluteError), 9) AS mae, round(sqrt(avg(squaredError)), 9) AS rmse, count(*) FILTER (isRelevant) AS ranking_eligible_users,
            CAST(sum(hit) AS BIGINT) AS ranking_hits, count(*) FILTER (recommendationCount > 0) AS users_with_recommendations, round(count(*) FILTER (recommendationCount > 0) / CAST(count(*) AS DOUBLE), 9) AS recommendation_user_coverage,
            {_mean_sql('hit / CAST(10 AS DOUBLE)', 'precision_at_k')}, {_mean_sql('CAST(hit AS DOUBLE)', 'recall_at_k')}, {_mean_sql('CAST(hit AS DOUBLE)', 'hit_rate_at_k')}, {_mean_sql('ndcg', 'ndcg_at_k')}, {_mean_sql('mrr', 'mrr_at_k')},
-           CAST(0 AS BIGINT) AS watched_recommendations_found, CAST(0 AS BIGINT) AS train_test_overlap_rows
+           (SELECT count(*) FROM recommended r JOIN train t ON t.userId = r.userId AND t.movieId = r.movieId) AS watched_recommendations_found,
+           (SELECT count(*) FROM test e JOIN train t ON t.userId = e.userId AND t.movieId = e.movieId) AS train_test_overlap_rows
     FROM users""",
 )
 _add(
-    "watched_violations", lambda s, d: evaluate.watched_violations(topk.ranked(_fit(s, d, CONFIG).predictions(), 3), ratings(s, d)).select("userId", "movieId", "rank"),
+    "watched_violations", lambda s, d: evaluate.watched_violations(topk.ranked(_fit(s, d, CONFIG).predictions(), 3), rated(s, d)).select("userId", "movieId", "rank"),
     _with(*_model_sql(CONFIG)[:-1]) + """SELECT p.userId, p.movieId, CAST(place AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY score DESC, movieId) AS place FROM predicted) p
     JOIN ratings r ON r.userId = p.userId AND r.movieId = p.movieId WHERE place <= 3""",
 )
@@ -302,22 +313,26 @@ _add(
     _with(*_model_sql(CONFIG), METADATA_SQL) + "SELECT r.userId, r.rank, r.movieId, r.score, coalesce(title, 'Movie ' || r.movieId) AS title, year, coalesce(genres, '') AS genres FROM recommended r LEFT JOIN metadata m ON m.movieId = r.movieId",
 )
 _add(
-    "user_summary", lambda s, d: _rounded(views.user_summary(ratings(s, d), _fit(s, d, CONFIG).recommendations().where("userId % 2 = 0")), "averageHistoricalRating", "averageRecommendationScore"),
+    "user_summary", lambda s, d: _rounded(views.user_summary(rated(s, d), _fit(s, d, CONFIG).recommendations()), "averageHistoricalRating", "averageRecommendationScore"),
     _with(*_model_sql(CONFIG)) + """SELECT h.userId, h.n AS watchedMovieCount, coalesce(r.n, 0) AS recommendationCount, h.a AS averageHistoricalRating, r.a AS averageRecommendationScore, r.m AS highestRecommendationScore
     FROM (SELECT userId, count(*) AS n, round(avg(rating), 9) AS a FROM ratings GROUP BY 1) h
-    LEFT JOIN (SELECT userId, count(*) AS n, round(avg(score), 9) AS a, max(score) AS m FROM recommended WHERE userId % 2 = 0 GROUP BY 1) r ON r.userId = h.userId""",
+    LEFT JOIN (SELECT userId, count(*) AS n, round(avg(score), 9) AS a, max(score) AS m FROM recommended GROUP BY 1) r ON r.userId = h.userId""",
 )
 _add(
-    "bundle_checks", lambda s, d: _rounded(views.bundle_checks(ratings(s, d), _fit(s, d, CONFIG).recommendations()), "userCoverage"),
-    _with(*_model_sql(CONFIG)) + """SELECT CAST(0 AS BIGINT) AS watchedViolations, CAST(0 AS BIGINT) AS duplicateViolations, CAST(0 AS BIGINT) AS orderViolations, count(*) FILTER (score NOT BETWEEN 1 AND 5) AS scoreViolations,
-    CAST(0 AS BIGINT) AS unknownUsers, round(count(DISTINCT userId) / CAST((SELECT count(DISTINCT userId) FROM ratings) AS DOUBLE), 9) AS userCoverage FROM recommended""",
+    "bundle_checks", lambda s, d: _rounded(views.bundle_checks(rated(s, d), shared.table(s, _fit(s, d, CONFIG).recommendations, d, "recommendations")), "userCoverage"),
+    _with(*_model_sql(CONFIG), "steps AS (SELECT *, lag(score) OVER w AS s, lag(movieId) OVER w AS m FROM recommended WINDOW w AS (PARTITION BY userId ORDER BY rank))")
+    + """SELECT (SELECT count(*) FROM recommended r JOIN ratings t ON t.userId = r.userId AND t.movieId = r.movieId) AS watchedViolations,
+    (SELECT count(*) FROM (SELECT userId, movieId FROM recommended GROUP BY 1, 2 HAVING count(*) > 1)) AS duplicateViolations,
+    (SELECT count(*) FROM steps WHERE score > s OR (score = s AND movieId < m)) AS orderViolations, count(*) FILTER (score NOT BETWEEN 1 AND 5) AS scoreViolations,
+    (SELECT count(DISTINCT userId) FROM recommended WHERE userId NOT IN (SELECT userId FROM ratings)) AS unknownUsers,
+    round(count(DISTINCT userId) / CAST((SELECT count(DISTINCT userId) FROM ratings) AS DOUBLE), 9) AS userCoverage FROM recommended""",
 )
 _add(
-    "metadata_coverage", lambda s, d: _rounded(stats.metadata_coverage(ratings(s, d), metadata(s, d)), "metadataCoverage"),
+    "metadata_coverage", lambda s, d: _rounded(stats.metadata_coverage(rated(s, d), metadata(s, d)), "metadataCoverage"),
     _with(METADATA_SQL, "rated AS (SELECT DISTINCT movieId FROM ratings)") + "SELECT count(*) AS ratedMovies, count(m.movieId) AS withMetadata, round(count(m.movieId) / CAST(count(*) AS DOUBLE), 9) AS metadataCoverage FROM rated r LEFT JOIN metadata m ON m.movieId = r.movieId",
 )
 _add(
-    "prefix_subset", lambda s, d: views.prefix_subset(ratings(s, d).select("userId", "movieId", "rating"), 2000),
+    "prefix_subset", lambda s, d: views.prefix_subset(rated(s, d).select("userId", "movieId", "rating"), 2000),
     _with("u AS (SELECT userId, coalesce(sum(c) OVER (ORDER BY userId ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT userId, count(*) AS c FROM ratings GROUP BY 1))")
     + "SELECT r.userId, movieId, rating FROM ratings r JOIN u ON u.userId = r.userId WHERE before < 2000",
 )

@@ -30,9 +30,9 @@ class Model:
         """The Top-K. Watched candidates never affect others, so they are removed before ranking."""
         return topk.recommendations(self.predictions(), self.train, self.config.top_k)
 
-    def evaluation(self, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(metrics, per-user diagnostics) against held-out ratings; a watched recommendation or an overlap is counted there."""
-        predicted = self.predictions()
+    def evaluation(self, test: DataFrame, predicted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(metrics, per-user diagnostics) against held-out ratings; a watched recommendation or an overlap is counted there. ``predicted``: the predictions, if they are at hand."""
+        predicted = self.predictions() if predicted is None else predicted
         recommended = topk.recommendations(predicted, self.train, self.config.top_k)
         k, threshold = self.config.top_k, self.config.relevance_threshold
         users = evaluate.per_user(test, predicted, recommended, k, threshold)

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from tessera import schemas
 from tessera.operators import benchmarks, pairs, stats, synthetic, views
 from tessera.config import ModelConfig
-from tessera.plans import artifacts, catalogue, cli, counters, model, runner
+from tessera.plans import artifacts, catalogue, cli, counters, model, queries, runner, text_queries
 from tessera.sources import sinks
 from tessera.streaming import pair_deltas
 
@@ -28,10 +28,10 @@ def duck():
     return db
 
 
-@pytest.mark.parametrize("name", ["ratings_view", "pair_stats", "sim_cosine_topl", "topk_cosine", "topk_cooccurrence", "split_test", "eval_metrics", "user_summary", "prefix_subset", "growth_factor", "stage_shares"])
+@pytest.mark.parametrize("name", ["ratings_view", "pair_stats", "sim_cosine_topl", "topk_cosine", "topk_cooccurrence", "split_test", "eval_metrics", "user_summary", "prefix_subset", "growth_factor", "stage_shares", "bundle_checks", "split_stats", "cold_start_items", "train_test_overlap", "late_training_users", "prediction_user_without_history", "per_user_metrics", *text_queries.QUERIES])
 def test_queries_match_sql(spark, duck, name):
-    found = catalogue.QUERIES[name](spark, SF)
-    wanted = duck.sql(catalogue.ORACLES[name])
+    found = queries.QUERIES[name](spark, SF)
+    wanted = duck.sql(queries.ORACLES[name])
     order = sorted(found.columns)
     assert sorted(wanted.columns) == order
     at = [wanted.columns.index(c) for c in order]
@@ -40,12 +40,12 @@ def test_queries_match_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(queries.QUERIES) == set(queries.ORACLES)
 
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["userId", "rank", "movieId", "score"]
-    assert set(catalogue.QUERIES) <= set(entry.queries())
+    assert set(queries.QUERIES) <= set(entry.queries())
 
 
 def test_plans_push_down_and_prune(spark):
