@@ -108,13 +108,17 @@ def scanner() -> Callable[[str | None], list[tuple[str, int, int]]]:
                 found.append(("hex", last + 1 - n, end))
         if not found:
             return []
-        if len(data) > len(text):
-            found = [(kind, *points(data, start, end)) for kind, start, end in found]
-        return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
-
-    def points(data: bytes, start: int, end: int) -> tuple[int, int]:
-        before = len(data[:start].decode("utf-8", "surrogatepass"))
-        return before, before + end - start
+        found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
+        return found if len(data) == len(text) else points(data, found)
+
+    def points(data: bytes, found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Spans in bytes, by start, as spans in code points; matches are ASCII, so one pass counts what stands between the starts."""
+        out, at, before = [], 0, 0
+        for kind, start, end in found:
+            before += len(data[at:start].decode("utf-8", "surrogatepass"))
+            at = start
+            out.append((kind, before, before + end - start))
+        return out
 
     return scan
 

@@ -101,6 +101,13 @@ def test_secret_spans(text):
     assert [s for s in found if s[0] in secrets.BASE] == plain_spans(text)
 
 
+def test_many_spans_take_linear_time():
+    text = "é password=abcdef123 " * 80_000
+    began = time.time()
+    found = secrets.scanner()(text)
+    assert len(found) == 80_000 and found[-1] == ("assign", 21 * 79_999 + 2, 21 * 79_999 + 20) and time.time() - began < 20
+
+
 def test_checksums():
     body = b"abcdefghijABCDEFGHIJ0123456789"
     n, digits = zlib.crc32(body), ""
