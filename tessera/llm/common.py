@@ -28,9 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
 
 
+#: The paths given out while a ``released`` runs.
+_given: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for given in _given:
+        given.append(path)
+    return path
+
+
+def released(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``make()`` as a table in the shared folder; every other table that was written for them is deleted."""
+    _given.append(given := [])
+    try:
+        out = materialise(make(), name)
+        kept = given[-1]
+    finally:
+        _given.remove(given)
+    for path in given:
+        if path != kept:
+            _delete(spark, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -43,17 +69,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialise`` made and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all tables and archives that this application has put into the shared folder. Results that still read them fail afterwards."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(spark, shared_dir(spark))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -2,11 +2,12 @@
 
 from itertools import combinations
 
+import numpy as np
 import pytest
 from conftest import SF, rows
 
 import corpus_pipeline
-from tessera.llm import jaccard
+from tessera.llm import simhash
 
 
 def plain_sets(texts):
@@ -48,10 +49,32 @@ def test_stage_is_brute_force_jaccard(spark, data):
 
 def test_large_clusters_are_cut(spark, data, monkeypatch):
     table = spark.createDataFrame(data, "doc_id long, text string")
-    whole = rows(jaccard.group(table, "doc_id"))
-    monkeypatch.setattr(jaccard, "MEMBERS", 2)
-    assert rows(jaccard.group(table, "doc_id")) == whole
+    whole = rows(simhash.similar(table))
+    monkeypatch.setattr(simhash, "MEMBERS", 2)
+    monkeypatch.setattr(simhash, "CELL", 3)
+    assert rows(simhash.similar(table)) == whole
 
 
 def test_empty_table(spark):
-    assert jaccard.group(spark.createDataFrame([], "doc_id long, text string"), "doc_id").count() == 0
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("size", "n"), [(5, 4000), (9, 4000), (40, 4000), (900, 600)])
+def test_recall_of_proposals(size, n):
+    """Pairs of sets at 0.8 exactly or just above, over random shingles: nearly all share a sample's bits and lie within the radius; unrelated ones do not."""
+    rng = np.random.default_rng(size)
+    own = rng.integers(0, 2**63, (n, size)).astype(np.uint64)
+    both = size - size // 9 if size >= 9 else size
+    fps = np.array([simhash.wide_fingerprint(x) for x in own])
+    more = rng.integers(0, 2**63, (n, size)).astype(np.uint64)
+    near = np.array([simhash.wide_fingerprint(np.concatenate([x[:both], y[both:]]) if size >= 9 else x[:4]) for x, y in zip(own, more, strict=True)])
+    apart = np.bitwise_count(fps ^ near).sum(1)
+    diff = np.unpackbits((fps ^ near).view(np.uint8), axis=1, bitorder="little")
+    for documents in (10**3, 10**6):
+        shared = np.zeros(n, bool)
+        for sample in simhash.samples(documents):
+            shared |= ~diff[:, [64 * word + shift for word, shift in sample]].any(1)
+        if size < 9:
+            shared |= np.array([not set(simhash.small_keys(np.sort(x))).isdisjoint(simhash.small_keys(np.sort(x[:4]))) for x in own])
+        assert (shared & (apart <= simhash.WIDE_RADIUS)).mean() > 0.995
+    assert (np.bitwise_count(fps[1:] ^ fps[:-1]).sum(1) > simhash.WIDE_RADIUS).all()

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,8 @@ import xxhash
 from conftest import SF, rows
 
 import corpus_pipeline
-from tessera.llm import byte_bpe, decontaminate, graph, html, language, lm, pii, queries, simhash, topk, warc
+from test_similar import plain_components as similar_components
+from tessera.llm import byte_bpe, common, decontaminate, graph, html, language, lm, pii, queries, simhash, topk, warc
 
 DOCS = "doc_id long, text string, digest string, fp string, item_id long"
 
@@ -506,7 +508,7 @@ def test_pipeline_stages(spark, tmp_path):
     by = [{r.doc_id for r in k.select("doc_id").collect()} for k in kept]
     assert all(k.columns == docs.columns for k in kept[:-1])
     assert by[0] - by[1] == {10**6}
-    grouped = plain_components([plain_fingerprint(r.text) for r in kept[1].collect()])
+    grouped = similar_components([r.text for r in kept[1].collect()])  # five words, 0.8
     assert kept[2].count() == len(set(grouped)) and kept[2].where(f"doc_id = {10**6 + 2}").count() == 1
     gone = by[2] - by[3]
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -522,7 +524,32 @@ def test_pipeline_stages(spark, tmp_path):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    made = corpus_pipeline.run(spark, SF)
+    assert made.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and made.count() > 100
+
+
+def test_tables_are_released(spark, tmp_path):
+    paths = []
+
+    def make():
+        first = common.materialise(spark.range(5).toDF("x"), "first")
+        paths.extend(first.inputFiles())
+        return first.where("x > 2")
+
+    out = common.released(spark, make, "out")
+    assert rows(out) == [(3,), (4,)] and not any(os.path.exists(p.removeprefix("file://")) for p in paths) and paths
+
+
+def test_shared_folder_is_asked_for(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
 
 
 def test_pipeline_keeps_clashing_columns(spark):
