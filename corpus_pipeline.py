@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm import byte_bpe, common, decontaminate, jaccard, language, pii, queries
+from tessera.llm import byte_bpe, common, decontaminate, language, pii, queries, simhash
 
 #: Ids that are broadcast at most to drop their rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -41,7 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of texts whose five-word shingles are alike by 0.8 or more: that with the least id, and of several rows with that id the least hash of the text."""
     rows = docs.withColumn("__doc", named("doc_id", F.xxhash64("text")))
-    grouped = common.materialise(jaccard.group(rows.select("__doc", "text"), key="__doc"), "grouped")
+    grouped = common.materialise(simhash.similar(rows.select("__doc", "text"), key="__doc"), "grouped")
     first = F.col("__doc").eqNullSafe(F.col("component_id"))
     kept = without(docs, grouped.where(~first))
     repeated = common.materialise(grouped.where(first).groupBy("__doc").count().where("count > 1").select("__doc"), "repeated")
@@ -86,7 +86,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """The last stage's rows. Of what a stage writes on its way only its result stays, until the next stage has read it."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        docs = common.released(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.remove(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
