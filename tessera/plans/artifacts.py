@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import zipfile
 from pathlib import Path, PurePosixPath
 
 from tessera.plans.model import file_sha256
@@ -41,6 +42,25 @@ def own(folder: str, replace: bool = False) -> Path:
     return out
 
 
+def extract(archive: str, folder: str, sha256: str | None = None) -> dict:
+    """Unpacks a zip archive into a folder that must not hold anything yet, and says what is there. A wrong digest, a broken member or one that would leave the folder fails before anything is written."""
+    found = file_sha256(archive)
+    if sha256 is not None and found != sha256.lower():
+        raise ValueError(f"{archive} has the digest {found}, not {sha256}")
+    out = Path(folder)
+    if out.exists() and any(out.iterdir()):
+        raise FileExistsError(f"{out} exists")
+    with zipfile.ZipFile(archive) as z:
+        names = [i.filename for i in z.infolist()]
+        unsafe = [n for n in names if not safe_member(n)] + [i.filename for i in z.infolist() if (i.external_attr >> 16) & 0o170000 == 0o120000]
+        if unsafe:
+            raise ValueError(f"unsafe members: {unsafe[:5]}")
+        if broken := z.testzip():
+            raise ValueError(f"broken member: {broken}")
+        z.extractall(out)
+    return {"archive": Path(archive).name, "sha256": found, "members": sorted(n for n in names if not n.endswith("/"))}
+
+
 def safe_member(name: str) -> bool:
     """Whether an archive's member stays within the folder it is extracted to."""
     path = PurePosixPath(name.replace("\\", "/"))

@@ -8,9 +8,13 @@ from tessera import schemas
 from tessera.functions import checks, numbers
 
 
+#: Names that do not end in ``.log``, as a glob.
+NO_LOGS = "{*[^g],*[^o]g,*[^l]og,*[^.]log}"
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): every text record, blank ones included. Directories are read as part files; hidden and ``_`` files are not."""
-    return spark.read.text(path)
+    """(value): every text record, blank ones included. Directories are read as part files; hidden, ``_`` and ``.log`` files are not."""
+    return spark.read.option("pathGlobFilter", NO_LOGS).text(path)
 
 
 def _fields(df: DataFrame, separator: str, n: int, what: str) -> tuple[DataFrame, list[Column], Column]:

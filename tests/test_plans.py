@@ -155,6 +155,25 @@ def test_artifacts(tmp_path):
     assert artifacts.safe_member("a/b.txt") and not any(map(artifacts.safe_member, ("../x", "/x", "a/../../b", "C:x")))
 
 
+def test_archives(tmp_path):
+    import hashlib
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("set/ratings.dat", "1::2::3::4")
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("../out.txt", "x")
+    digest = hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest()
+    with pytest.raises(ValueError, match="digest"):
+        artifacts.extract(str(tmp_path / "a.zip"), str(tmp_path / "x"), "0" * 64)
+    assert artifacts.extract(str(tmp_path / "a.zip"), str(tmp_path / "x"), digest)["members"] == ["set/ratings.dat"] and (tmp_path / "x/set/ratings.dat").read_text() == "1::2::3::4"
+    with pytest.raises(FileExistsError):
+        artifacts.extract(str(tmp_path / "a.zip"), str(tmp_path / "x"))
+    with pytest.raises(ValueError, match="unsafe"):
+        artifacts.extract(str(tmp_path / "b.zip"), str(tmp_path / "y"))
+    assert not (tmp_path / "out.txt").exists() and not (tmp_path / "y").exists()
+
+
 def test_stages_resume(tmp_path):
     ran = []
     stages = model.Stages(str(tmp_path), ["a", "b"])

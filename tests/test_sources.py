@@ -102,6 +102,12 @@ def test_malformed_relations_fail(spark, put, scan, line):
         scan(spark, put("x", line + "\n")).collect()
 
 
+def test_part_files(spark, put, tmp_path):
+    for name, text in (("part-00000", "a\n\n"), ("part-00001.txt", "b\n"), ("run.log", "no\n"), ("_SUCCESS", "no\n"), (".part-0.crc", "no\n"), ("catalog", "c\n")):
+        put(f"parts/{name}", text)
+    assert rows(relations.lines(spark, str(tmp_path / "parts"))) == [("",), ("a",), ("b",), ("c",)]
+
+
 def test_header_blocks(spark, put, tmp_path):
     put("n/mv_0000001.txt", "1:\n1488844,3,2005-09-06\n822109,5,2005-05-13\n\n2:\n1488844,4,2005-09-07\n1488844,4,2005-09-07\n0:\nx:\n5,6,2005-01-01\n5,1\n")
     put("n/deep/mv_0000002.txt", "7,3,2005-01-01\n-3:\n3:\n0,1,2005-01-01\n9,1,2005-13-01\n9,1,2005-12-01")
