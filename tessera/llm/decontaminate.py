@@ -27,8 +27,8 @@ from .common import materialise
 WIDTH = 5
 SHARE = 0.8
 LITERALS = 2
-#: Benchmark windows that are broadcast at most, and documents to look at again; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Benchmark windows with their words (150 bytes or so each), and documents to look at again (32 bytes), that are broadcast at most; more are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_ROWS = 200_000, 1_000_000
 
 #: Marks of slots, from the private use area: name, number, unit; what joins the words of one name; and a word that may be a name.
 NAME, NUMBER, UNIT, JOINT, START = "", "", "", "", ""
@@ -120,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.xxhash64(item_text).alias("own"), F.col(item_text).alias("text")).distinct()
     bench = materialise(_item_windows(items.select("own", "text").distinct()), "benchmark-windows")
-    held = F.broadcast if bench.count() <= BROADCAST_ROWS else (lambda df: df)
+    held = F.broadcast if bench.count() <= BROADCAST_WINDOWS else (lambda df: df)
     # a struct, as its null fields are equal to each other
     doc = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("digest"))
     rows = docs.select(doc.alias("doc"), F.col(text).alias("text"))
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     sizes = poor.groupBy("own").agg(F.count("*").alias("of"))
     verbatim = None
     if not poor.isEmpty():
-        few = F.broadcast if poor.count() <= BROADCAST_ROWS else (lambda df: df)
+        few = F.broadcast if poor.count() <= BROADCAST_WINDOWS else (lambda df: df)
         met = _plain_windows(rows, "text").select("doc", F.explode(F.array_distinct("hashes")).alias("hash")).join(few(poor.join(sizes, "own")), "hash")
         verbatim = met.groupBy("doc", "own", "of").agg(F.count_distinct("j").alias("windows")).where(F.col("windows") >= F.col("of") * share)
 
