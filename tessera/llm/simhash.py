@@ -20,7 +20,7 @@ Components then come from the forests.
 A bit of two such texts differs with a probability of 0.15 (``acos(2s/(1+s))/pi``), so the fingerprints are
 ``WIDE`` words of 64 bits over the set of shingles, cells come from samples of bits (as many samples as let a pair
 at the share miss all of them once in ``1/MISS`` cases; their number grows with the fingerprints' as N^0.24), and
-a cell's members link at ``WIDE_RADIUS`` differing bits or fewer, far from the half in which unrelated texts
+a cell's members link at ``WIDE_RADIUS`` differing bits or fewer (``WORD_RADIUS`` in any word), far from the half in which unrelated texts
 differ; sets of four to nine shingles also have a cell per set without one of its shingles. Those links only propose: within what they connect the sets of shingles themselves are compared, by an
 index of the rarest shingles of each set, and only pairs at the share are links. The pivot tables are kept there,
 but at that radius they discard next to nothing.
@@ -113,8 +113,8 @@ class Forest:
         return used
 
 
-def forest(fps: np.ndarray, cells: np.ndarray, radius: int = RADIUS, wanted: np.ndarray | None = None, pivots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (positions) that connect what is linked among fingerprints ``fps``, rows of one or several words, of equal ``cells`` (any numbers).
+def forest(fps: np.ndarray, cells: np.ndarray, radius: int = RADIUS, wanted: np.ndarray | None = None, pivots: np.ndarray | None = None, each: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Links (positions) that connect what is linked among fingerprints ``fps``, rows of one or several words, of equal ``cells`` (any numbers): ``radius`` differing bits at most, and ``each`` in any word.
 
     With ``wanted`` (component numbers) only links between different ones are looked for.
     """
@@ -124,34 +124,55 @@ def forest(fps: np.ndarray, cells: np.ndarray, radius: int = RADIUS, wanted: np.
     first = away(fps, pivots[0])
     order = np.lexsort((first, cells))
     fps, first, cells = fps[order], first[order], cells[order]
-    tables = np.stack([away(fps, p) for p in pivots[1:]], 1)
+    tables = [away(fps, p) for p in pivots[1:]]
     words = np.ascontiguousarray(fps.T)
     trees, left, right = Forest(len(fps)), [], []
     if wanted is not None:
         _, start, inverse = np.unique(wanted[order], return_index=True, return_inverse=True)
         trees.root = start[inverse]
-    here, step, last = np.arange(len(fps)), 1, len(fps) - 1
-    while True:
-        here = here[here + step <= last]
-        # sorted by cell and first coordinate: what is too far now is too far at every later step
-        here = here[(cells[here + step] == cells[here]) & (first[here + step] - first[here] <= radius)]
-        if not len(here):
-            break
-        i = here[trees.root[here] != trees.root[here + step]]
-        for p in range(tables.shape[1]):
+
+    def check(i: np.ndarray, j: np.ndarray) -> None:
+        """Keeps the links among pairs: what the pivots don't discard is verified."""
+        for table in tables:
             if not len(i):
-                break
-            i = i[np.abs(tables[i, p] - tables[i + step, p]) <= radius]
+                return
+            fine = np.abs(table[i] - table[j]) <= radius
+            i, j = i[fine], j[fine]
         apart = np.zeros(len(i), np.int16)
         for word in words:
-            apart += np.bitwise_count(word[i] ^ word[i + step])
-            near = apart <= radius
-            i, apart = i[near], apart[near]
+            own = np.bitwise_count(word[i] ^ word[j])
+            apart += own
+            fine = (own <= each) & (apart <= radius)
+            i, j, apart = i[fine], j[fine], apart[fine]
         if len(i):
-            used = trees.join(i, i + step)
+            used = trees.join(i, j)
             left.append(i[used])
-            right.append(i[used] + step)
-        step += 1
+            right.append(j[used])
+
+    if each < 64:
+        # wide fingerprints, whose cells are large: a cell's first words against each other, in blocks
+        bounds = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
+        for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
+            at, end = int(bounds[k]), int(bounds[k + 1])
+            while at < end - 1:
+                to = min(end, at + max(1, 131_072 // (end - at)))
+                near = np.bitwise_count(words[0][at:to, None] ^ words[0][None, at:end]) <= each
+                near &= np.bitwise_count(words[1][at:to, None] ^ words[1][None, at:end]) <= each
+                i, j = np.divmod(np.flatnonzero(near), end - at)
+                fine = (i < j) & (trees.root[i + at] != trees.root[j + at])
+                check(i[fine] + at, j[fine] + at)
+                at = to
+    else:
+        here, step, last = np.arange(len(fps)), 1, len(fps) - 1
+        while True:
+            here = here[here + step <= last]
+            # sorted by cell and first coordinate: what is too far now is too far at every later step
+            here = here[(cells[here + step] == cells[here]) & (first[here + step] - first[here] <= radius)]
+            if not len(here):
+                break
+            i = here[trees.root[here] != trees.root[here + step]]
+            check(i, i + step)
+            step += 1
     if not left:
         return np.zeros(0, int), np.zeros(0, int)
     return order[np.concatenate(left)], order[np.concatenate(right)]
@@ -191,7 +212,7 @@ def _forests(groups: DataFrame, node: str, words: list[str], radius: int, pivots
         def work(rows: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
-            i, j = forest(np.ascontiguousarray(rows[:, at]).view(np.uint64), np.cumsum(new), radius, rows[:, at.stop] if rows.shape[1] > at.stop else None, pivots)
+            i, j = forest(np.ascontiguousarray(rows[:, at]).view(np.uint64), np.cumsum(new), radius, rows[:, at.stop] if rows.shape[1] > at.stop else None, pivots, 64 if pivots is None else WORD_RADIUS)
             return pa.RecordBatch.from_arrays([pa.array(rows[i, 3]), pa.array(rows[j, 3])], names=["a", "b"])
 
         for batch in batches:
@@ -262,17 +283,17 @@ def digests(grouped: DataFrame, key: str = "doc_id") -> DataFrame:
 
 #: Words of a shingle, and the least similarity of a link, as a fraction.
 SIMILAR_WIDTH, SHARE = 5, (4, 5)
-#: Words of 64 bits of a wide fingerprint; differing bits of a proposed link (0.15 of the bits and five deviations, with room for sets of few shingles).
-WIDE, WIDE_RADIUS = 4, 76
+#: Words of 64 bits of a wide fingerprint; differing bits of a proposed link, of all and of any word (0.15 of them and six deviations, or five for sets of few shingles).
+WIDE, WIDE_RADIUS, WORD_RADIUS = 4, 76, 28
 #: How often a bit differs for two texts at the share, how often a pair at the share may miss all samples, and members of a cell by expectation.
-DIFFER, MISS, SAMPLE_CROWD = 0.151, 1e-5, 512
+DIFFER, MISS, SAMPLE_CROWD = 0.151, 1e-5, 2048
 #: Shingles and sets of what was proposed that one group holds; more are cut.
 WEIGHT, MEMBERS = 1_000_000, 2048
 #: Nodes that are broadcast at most to fetch their texts; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
 #: Fixed rules: what spreads a shingle's hash over the words, and the wide pivots.
 SPREAD = np.array([xxhash.xxh64_intdigest(f"word {i}", SEED) for i in range(WIDE)], np.uint64)
-WIDE_PIVOTS = np.array([[xxhash.xxh64_intdigest(f"pivot {p} {i}", SEED) for i in range(WIDE)] for p in range(3)], np.uint64)
+WIDE_PIVOTS = np.array([[xxhash.xxh64_intdigest(f"pivot {p} {i}", SEED) for i in range(WIDE)] for p in range(2)], np.uint64)
 
 
 def shingles(text: str | None, width: int = SIMILAR_WIDTH) -> np.ndarray:

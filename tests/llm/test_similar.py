@@ -68,7 +68,7 @@ def test_recall_of_proposals(size, n):
     fps = np.array([simhash.wide_fingerprint(x) for x in own])
     more = rng.integers(0, 2**63, (n, size)).astype(np.uint64)
     near = np.array([simhash.wide_fingerprint(np.concatenate([x[:both], y[both:]]) if size >= 9 else x[:4]) for x, y in zip(own, more, strict=True)])
-    apart = np.bitwise_count(fps ^ near).sum(1)
+    apart = np.where((np.bitwise_count(fps ^ near) <= simhash.WORD_RADIUS).all(1), np.bitwise_count(fps ^ near).sum(1), 256)
     diff = np.unpackbits((fps ^ near).view(np.uint8), axis=1, bitorder="little")
     for documents in (10**3, 10**6):
         shared = np.zeros(n, bool)
