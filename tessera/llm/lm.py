@@ -11,10 +11,10 @@ predicts the next one in two steps, its class and the number within it, both sof
 
 Before training, the biases make the network the unigram model of all counts. It is trained by truncated
 backpropagation (windows of ``WINDOW`` tokens, the state carried from window to window) on passages from every
-part of all training documents: a document is cut into passages of ``PASSAGE`` tokens, and one in ``EVERY``,
-picked by a hash of its tokens and place, is learnt, with the window before it read but not learnt. What is
-learnt so grows with the corpus, without a cap. Passages are dealt over ``ROUNDS`` rounds; in a round tasks train
-side by side from the same parameters, which are then averaged by the number of tokens.
+part of all training documents: a document is cut into passages of ``PASSAGE`` tokens, and every one of them is
+learnt, with the window before it read but not learnt; no token is left out and none is learnt twice. Passages are
+dealt over ``ROUNDS`` rounds by a hash of their tokens and place; in a round tasks train side by side from the same
+parameters, which are then averaged by the number of tokens.
 
 A document is scored whole: its state is carried through all of its windows.
 
@@ -47,8 +47,8 @@ HEAD, PER_CLASS, UNITS, WINDOW = 2000, 50, 32, 16
 LEAST_TAILS = 8
 #: Tokens that are sent to all tasks at most, and the bytes of the longest of them.
 MAPPED, LONGEST = 200_000, 256
-#: Tokens of a passage, the share of passages that is learnt, and the rounds they are dealt over.
-PASSAGE, EVERY, ROUNDS = 128, 16, 2
+#: Tokens of a passage, how many passages there are to one that is learnt (one: all are), and the rounds they are dealt over.
+PASSAGE, EVERY, ROUNDS = 128, 1, 2
 #: Passages trained side by side, and those sorted by length together.
 STREAMS, SORTED = 128, 2048
 #: Tokens that a task learns from in a round, as long as MOST_TASKS of them are enough.
@@ -272,13 +272,11 @@ class Network:
 
 
 def passages(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(round, numbers, how many are read only) of a document's passages that are learnt."""
+    """(round, numbers, how many are read only) of a document's passages; all are learnt."""
     for k in range(0, len(numbers), PASSAGE):
         own = np.ascontiguousarray(numbers[k : k + PASSAGE], np.uint32)
-        place = zlib.crc32(own.tobytes(), k)
-        if place % EVERY == 0:
-            read = min(k, WINDOW)
-            yield place // EVERY % ROUNDS, np.ascontiguousarray(numbers[k - read : k + PASSAGE], np.uint32), read
+        read = min(k, WINDOW)
+        yield zlib.crc32(own.tobytes(), k) % ROUNDS, np.ascontiguousarray(numbers[k - read : k + PASSAGE], np.uint32), read
 
 
 @dataclass

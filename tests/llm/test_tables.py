@@ -169,6 +169,13 @@ def test_passages_cover_all_parts():
     assert 0.4 < len(half) / len(found) < 0.6
 
 
+def test_every_token_is_learnt_once():
+    rng = np.random.default_rng(4)
+    for d in [rng.integers(0, 400, n) for n in (1, 2, lm.PASSAGE, lm.PASSAGE + 1, 5000)]:
+        found = [x[read:] for _, x, read in lm.passages(d)]
+        assert np.concatenate(found).tolist() == d.tolist()
+
+
 def test_scores_by_hand(spark, monkeypatch):
     """The score of whole documents: every token's class, number and share, with the state carried from the first token to the last."""
     monkeypatch.setattr(lm, "MAPPED", 500)
