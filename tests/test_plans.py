@@ -12,7 +12,7 @@ from tessera import schemas
 from tessera.operators import benchmarks, pairs, stats, synthetic, views
 from tessera.config import ModelConfig
 from tessera.plans import artifacts, catalogue, cli, counters, model, queries, runner, text_queries
-from tessera.sources import sinks
+from tessera.sources import relations, sinks
 from tessera.streaming import pair_deltas
 
 
@@ -244,3 +244,25 @@ def test_streamed_pairs_add_up(spark, tmp_path):
     stream = spark.readStream.schema(histories.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     pair_deltas.start(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert rows(pair_deltas.merged(spark, str(tmp_path / "out"))) == rows(pairs.pair_statistics(ratings))
+
+
+def test_large_texts_are_written_in_passes(spark, tmp_path, monkeypatch):
+    """Pairs and predictions are compressed, in passes of whole keys with no shuffle files left, and come back the same; texts that a chain alone needed go."""
+    from tessera.plans import shared
+
+    monkeypatch.setattr(shared, "_made", {})
+    names = "scan_pair_stats scan_similarity scan_predictions scan_recommendations list_items".split()
+    whole = {n: rows(queries.QUERIES[n](spark, SF)) for n in names}
+    assert shared.folders(spark, text_queries._pairs(spark, SF))[0].endswith("pass-0")
+    monkeypatch.setattr(shared, "_made", {})
+    monkeypatch.setattr(text_queries, "PASS_ROWS", 30_000)
+    last = text_queries._recommended(spark, SF)
+    assert not shared.written(spark, SF, "pairs") and not shared.written(spark, SF, "predictions")
+    assert {n: rows(queries.QUERIES[n](spark, SF)) for n in names} == whole
+    assert text_queries._recommended(spark, SF) == last
+    for of, key in ((text_queries._pairs, 0), (text_queries._predicted, 0)):
+        passes = shared.folders(spark, of(spark, SF))
+        seen = [{r.value.split("\t")[0].split(",")[key] for r in relations.lines(spark, p).collect()} for p in passes]
+        assert len(passes) > 3 and sum(map(len, seen)) == len(set.union(*seen))
+        assert all(f.endswith(".gz") for p in passes for f in relations.lines(spark, p).inputFiles())
+    assert spark.conf.get(shared._CLEANUP, "false") == "false"

@@ -178,3 +178,21 @@ def test_ten_decimals_round_half_up(spark):
     assert [r[0] for r in df.select(numbers.ten_text(df.x)).collect()][0] == "0.0004882813"
     texts = spark.createDataFrame([("1.5",), ("",), ("x",), ("NaN",), ("Infinity",)], "t string")
     assert [r[0] for r in texts.select(numbers.lenient_double(texts.t)).collect()] == [1.5, None, None, None, None]
+
+
+def test_one_plain_column_per_key(spark):
+    """A null beside a value is a conflict, nulls alone are not; NaN equals itself."""
+    df = lambda *r: spark.createDataFrame(list(r), "k int, v double")
+    assert rows(checks.one_per_key(df((1, 2.0), (1, 2.0), (2, None), (2, None)), ["k"], ["v"], "x")) == [(1, 2.0), (2, None)]
+    for r in (((1, 2.0), (1, None)), ((1, 2.0), (1, 3.0)), ((1, float("nan")), (1, 3.0))):
+        with pytest.raises(Exception, match="x for 1"):
+            checks.one_per_key(df(*r), ["k"], ["v"], "x").collect()
+    assert checks.one_per_key(df((1, float("nan")), (1, float("nan"))), ["k"], ["v"], "x").count() == 1
+
+
+def test_repeated_history_lines_fail(spark, put):
+    with pytest.raises(Exception, match="repeated"):
+        relations.history(spark, put("h", "1\t1:4\n1\t1:4\n")).collect()
+    with pytest.raises(Exception, match="repeated"):
+        relations.history(spark, put("h2", "1\t1:4, 1:5\n")).collect()
+    assert "collect_list" not in (plan := relations.history(spark, put("h3", "1\t1:4,2:5\n"))._jdf.queryExecution().optimizedPlan().toString()) and plan.index("Aggregate") > plan.index("Generate")
