@@ -103,16 +103,17 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructFi
     """One output row per row of ``df``: the columns ``keep``, then ``fields`` from ``make()(texts)``.
 
     ``make`` runs once in each task and returns the function that turns a list of texts into a list of
-    Arrow arrays. Only the columns ``keep`` and ``text`` are read.
+    Arrow arrays. Only the columns ``keep`` and ``text`` are read; a text that is kept is sent to Python once.
     """
     small_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     names = [f.name for f in schema]
-    source = df.select(*keep, df[text].alias("__text"))
+    held = text if text in keep else "__text"
+    source = df.select(*keep) if text in keep else df.select(*keep, df[text].alias(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch, texts in slices(batches, "__text"):
+        for batch, texts in slices(batches, held):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + work(texts), names=names)
 
     return source.mapInArrow(run, schema)

@@ -46,3 +46,11 @@ def test_clashing_columns(spark):
         assert rows(run(wide)) == rows(run(docs))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, wide, "/root/testdata/sf0.001").columns == wide.columns
+
+
+def test_kept_texts_are_sent_once(spark):
+    docs = spark.createDataFrame([(1, "abc", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    both = language.identify(docs, None, keep=("doc_id", "text", "lang"))
+    assert rows(both) == [(1, "abc", "en", "und", 0.0), (2, None, "en", "und", 0.0)]
+    assert "__text" not in both._jdf.queryExecution().analyzed().toString()
+    assert rows(language.identify(docs, None)) == [(1, "und", 0.0), (2, "und", 0.0)]
