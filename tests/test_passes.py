@@ -72,3 +72,26 @@ def test_a_prediction_without_history_fails(spark):
     assert rows(topk.with_history(predicted.where("userId = 1"), ratings)) == [(1, 2, 3.0)]
     with pytest.raises(Exception, match="has no history: 5"):
         topk.with_history(predicted, ratings).collect()
+
+
+@pytest.mark.parametrize(("texts", "want"), [
+    ((["1,2\t3.5", "1,3\t2.0"], ["2,2\t3.5"]), [(1, 2, 3.5), (1, 3, 2.0), (2, 2, 3.5)]),
+    ((["1,2\t3.5", "1,2\t3.50"], ["2,2\t3.5"]), [(1, 2, 3.5), (2, 2, 3.5)]),
+    ((["1,2\t3.5"], ["1,2\t3.5", "1,3\t1.0"]), [(1, 2, 3.5), (1, 3, 1.0)]),
+    ((["1,2\t3.5"], ["1,2\t3.6"]), "conflicting predictions for 1,2"),
+    ((["1,2\t3.5", "1,2\t3.6"], ["2,2\t3.6"]), "conflicting predictions for 1,2"),
+    ((["1,2\t3.5"], ["2,2\t6.0"]), "score is out of range"),
+])
+def test_predictions_are_checked_a_pass_at_a_time(spark, tmp_path, monkeypatch, texts, want):
+    monkeypatch.setattr(shared, "_made", {})
+    for i, lines in enumerate(texts):
+        spark.createDataFrame([(x,) for x in lines], "value string").write.text(str(tmp_path / f"pass-{i}"))
+    monkeypatch.setattr(text_queries, "_predicted", lambda s, d: f"file://{tmp_path}/pass-*")
+    if isinstance(want, str):
+        with pytest.raises(Exception, match=want):
+            queries.QUERIES["scan_predictions"](spark, SF).collect()
+    else:
+        found = queries.QUERIES["scan_predictions"](spark, SF)
+        assert rows(found) == want
+        # repeated keys in a text cost a shuffle of all rows, other texts none
+        assert ("hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (sum(map(len, texts)) > len(want))
