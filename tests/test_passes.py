@@ -7,7 +7,7 @@ from tessera.operators import pairs, topk
 from tessera.plans import queries, shared, text_queries
 from tessera.sources import relations, sinks
 
-CHAIN = "counters_top_k counters_scoring list_items scan_recommendations scan_similarity counters_pairs report_stage_table counters_similarity".split()
+CHAIN = "counters_top_k counters_scoring list_items scan_recommendations scan_similarity counters_pairs report_stage_table counters_similarity run_statistics".split()
 
 
 @pytest.fixture
