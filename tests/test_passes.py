@@ -4,7 +4,7 @@ import pytest
 
 from conftest import SF, rows
 from tessera.operators import pairs, topk
-from tessera.plans import queries, shared, text_queries
+from tessera.plans import catalogue, queries, shared, text_queries
 from tessera.sources import relations, sinks
 
 CHAIN = "counters_top_k counters_scoring list_items scan_recommendations scan_similarity counters_pairs report_stage_table counters_similarity run_statistics".split()
@@ -95,3 +95,46 @@ def test_predictions_are_checked_a_pass_at_a_time(spark, tmp_path, monkeypatch,
         assert rows(found) == want
         # repeated keys in a text cost a shuffle of all rows, other texts none
         assert ("hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()) == (sum(map(len, texts)) > len(want))
+
+
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Each write of a text in an application that has written nothing: its name, and whether another text of that name is there; whether it is compressed."""
+    monkeypatch.setattr(shared, "_made", {})
+    monkeypatch.setattr(text_queries, "PASS_ROWS", 12_000)
+    there, seen, write, delete = set(), [], sinks.write_text, shared.delete
+
+    def writing(lines, path, *a, **how):
+        name = path.split("/")[-2 if "/lines/" not in path else -3].rsplit("-", 1)[0]
+        seen.append((name, any(f"/{name}-" in x for x in there), how.get("compressed", False)))
+        there.add(path)
+        write(lines, path, *a, **how)
+
+    def deleting(session, path):
+        there.difference_update([x for x in there if x.startswith(path)])
+        delete(session, path)
+
+    monkeypatch.setattr(sinks, "write_text", writing)
+    monkeypatch.setattr(shared, "delete", deleting)
+    return seen
+
+
+def _alone(seen, name):
+    """Whether ``name`` was written in several passes, with no other of its passes there."""
+    beside = [x for n, x, _ in seen if n == name]
+    return len(beside) > 1 and not any(beside)
+
+
+def test_ratings_and_histories_are_made_a_pass_at_a_time(spark, whole, written, monkeypatch):
+    monkeypatch.setattr(shared, "SENT_ROWS", 400)
+    assert rows(queries.QUERIES["scan_similarity"](spark, SF)) == whole["scan_similarity"]
+    assert len(shared.folders(spark, shared.once(spark, None, SF, "ratings") + "/pass-*")) > 2
+    assert rows(catalogue.rated(spark, SF)) == rows(catalogue.ratings(spark, SF))
+    assert _alone(written, "history") and len([n for n, _, _ in written if n == "similarity"]) > 1
+
+
+def test_a_repeated_line_in_a_pass_fails(spark, written, monkeypatch):
+    lines = sinks.history_lines
+    monkeypatch.setattr(sinks, "history_lines", lambda r: lines(r).union(lines(r).where("userId = 7")))
+    with pytest.raises(Exception, match="a history line is repeated"):
+        text_queries._histories(spark, SF)
