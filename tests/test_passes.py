@@ -138,3 +138,9 @@ def test_a_repeated_line_in_a_pass_fails(spark, written, monkeypatch):
     monkeypatch.setattr(sinks, "history_lines", lambda r: lines(r).union(lines(r).where("userId = 7")))
     with pytest.raises(Exception, match="a history line is repeated"):
         text_queries._histories(spark, SF)
+
+
+def test_ranking_keeps_no_text_that_it_has_scanned(spark, whole, written):
+    assert rows(queries.QUERIES["list_items"](spark, SF)) == whole["list_items"]
+    assert _alone(written, "history-twice") and _alone(written, "similarity")
+    assert not any(shared.written(spark, SF, n) for n in ("history", "history-twice", "similarity", "pair-stage"))
