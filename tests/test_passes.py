@@ -144,3 +144,9 @@ def test_ranking_keeps_no_text_that_it_has_scanned(spark, whole, written):
     assert rows(queries.QUERIES["list_items"](spark, SF)) == whole["list_items"]
     assert _alone(written, "history-twice") and _alone(written, "similarity")
     assert not any(shared.written(spark, SF, n) for n in ("history", "history-twice", "similarity", "pair-stage"))
+
+
+def test_recommendations_lie_compressed(spark, whole, written, monkeypatch):
+    monkeypatch.setattr(text_queries, "PASS_ROWS", 100_000)
+    assert rows(queries.QUERIES["scan_recommendations"](spark, SF)) == whole["scan_recommendations"]
+    assert {c for n, _, c in written if n == "recommendation-lines"} == {True}
