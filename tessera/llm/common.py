@@ -83,20 +83,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Each batch cut so that the texts of a slice hold about ``most`` bytes at most, with those texts as Python strings; a null text comes as None."""
+def cuts(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Each batch cut so that the texts of a slice hold about ``most`` bytes at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > most:
-                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
+                yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
-        yield batch.slice(start), column.slice(start).to_pylist()
+        yield batch.slice(start)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The slices of ``cuts`` with their texts as Python strings; a null text comes as None."""
+    for batch in cuts(batches, text, most):
+        yield batch, batch.column(batch.schema.get_field_index(text)).to_pylist()
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str, fields: list[T.StructField], make: Callable[[], Callable[[list], list]]) -> DataFrame:

@@ -29,14 +29,15 @@ rows get repeated results; other columns are never read.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,15 +51,21 @@ MAPPED, LONGEST = 200_000, 256
 #: Tokens of a passage, how many passages there are to one that is learnt (one: all are), and the rounds they are dealt over.
 PASSAGE, EVERY, ROUNDS = 128, 1, 2
 #: Passages trained side by side, and those sorted by length together.
-STREAMS, SORTED = 128, 2048
+STREAMS, SORTED = 512, 16384
 #: Tokens that a task learns from in a round, as long as MOST_TASKS of them are enough.
-TASK_TOKENS, MOST_TASKS = 1 << 19, 2048
+TASK_TOKENS, MOST_TASKS = 1 << 21, 2048
+#: Rows of one number that are added up across numbers; the rest of a frequent number's is summed by itself.
+TIMES = 20
 #: The step size, and the steps over which it rises to that.
 RATE, WARM = 0.02, 16
-#: Distinct tokens that a task counts before it passes them on.
+#: Counts of tokens that a task holds before it adds up equal ones; beyond half of this it passes them on.
 HELD = 400_000
-#: Documents scored side by side, tokens of each in one step of the output layer, and documents sorted by length together.
-SIDE, STEPS, GATHER = 512, 64, 4096
+#: Documents scored side by side, tokens of each in one step of the output layer, and documents that a task takes together.
+SIDE, STEPS, GATHER = 512, 16, 4096
+#: Tokens of documents that are scored together at least, unless a task has fewer.
+SCORED = 1 << 20
+#: States that pass through the output layers together, so that they stay in the processor's cache.
+BLOCK = 4096
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -68,6 +75,28 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts as ``tokens_of`` gives them, one after the other, and how many each text has."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # a blank at the end leaves an empty word there: the end
+    found = pc.ascii_split_whitespace(pc.if_else(pc.equal(bare, ""), "", pc.binary_join_element_wise(bare, "", " ")))
+    return found.flatten().cast(pa.binary()), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "__text") -> Iterator[pa.RecordBatch]:
+    """Slices of batches put together, up to ``GATHER`` rows and the bytes of one slice."""
+    held, rows, size = [], 0, 0
+    for batch in common.cuts(batches, text):
+        more = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(text)))).as_py() or 0
+        if held and (rows + batch.num_rows > GATHER or size + more > common.SLICE_CHARS):
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tails_of(types: int) -> int:
     """Classes of shared numbers for a vocabulary."""
     return max(LEAST_TAILS, -(-int(np.sqrt(types)) // PER_CLASS))
@@ -83,41 +112,79 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        names = ["token", "c"]
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("c", "sum")]).select(["token", "c_sum"]).rename_columns(names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(held.items())
+            yield from merged().to_batches(max_chunksize=50_000)
             held.clear()
-            for at in range(0, len(rows), 50_000):
-                part = rows[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["token", "c"])
-
-        for _, texts in common.slices(batches, "__text"):
-            for t in texts:
-                held.update(tokens_of(t))
-                if len(held) > HELD:
+
+        for batch in gathered(batches):
+            found = split(batch.column(0))[0].value_counts()
+            held.append(pa.table([found.field(0), found.field(1)], names))
+            if sum(map(len, held)) > HELD:
+                held[:] = [merged()]
+                if len(held[0]) > HELD / 2:
                     yield from flush()
-        yield from flush()
+        if held:
+            yield from flush()
 
     partial = docs.select(F.col(text).alias("__text")).mapInArrow(run, "token binary, c long")
     return common.materialise(partial.groupBy("token").agg(F.sum("c").alias("c")), "counts")
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
-
-
-def log_chosen(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The logarithm of each row's softmax at the place ``chosen``; ``x`` is used up."""
-    x -= x.max(-1, keepdims=True)
-    found = x[np.arange(len(x)), chosen].astype(np.float64)
-    np.exp(x, out=x)
-    return found - np.log(x.sum(-1))
+def keep_memory() -> None:
+    """Lets the C library keep freed memory of arrays up to 16 MB, where it is glibc: a training step takes and frees the same megabytes thousands of times."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return
+    mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+    mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
+def exponentials(logits: Callable[[], np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The exponentials of each row of logits, their sums, and the logits at the places ``chosen``; rows are shifted where the range of 32-bit numbers asks for it."""
+    x = logits()
+    at, ones = x[np.arange(len(x)), chosen], np.ones(x.shape[1], x.dtype)
+    with np.errstate(over="ignore"):
+        sums = np.exp(x, out=x) @ ones
+    if len(x) and not (sums.min() > 1e-30 and sums.max() < 1e30):
+        x = logits()
+        top = x.max(-1, keepdims=True)
+        x -= top
+        at -= top[:, 0]
+        sums = np.exp(x, out=x) @ ones
+    return x, sums, at
+
+
+def ordered(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order of numbers below ``most``, the distinct ones, and where each begins and how often it occurs in that order."""
+    counts = np.bincount(x, minlength=most)
+    found = np.flatnonzero(counts)
+    counts = counts[found]
+    # short numbers are sorted by their digits
+    return np.argsort(x.astype(np.uint16) if most <= 1 << 16 else x, kind="stable"), found, np.cumsum(counts) - counts, counts
+
+
+def summed(rows: np.ndarray, order: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of the rows of each value that ``ordered`` found."""
+    by_count = np.argsort(-counts, kind="stable")
+    first, falling = first[by_count], -counts[by_count]
+    out = rows[order[first]]
+    for k in range(1, TIMES):  # the second rows of all values that have one, the third ones, and so on
+        n = int(np.searchsorted(falling, -k))
+        if not n:
+            break
+        out[:n] += rows[order[first[:n] + k]]
+    for i in range(int(np.searchsorted(falling, -TIMES))):
+        out[i] += rows[order[first[i] + TIMES : first[i] - falling[i]]].sum(0)
+    found = np.empty_like(out)
+    found[by_count] = out
+    return found
 
 
 class Network:
@@ -149,76 +216,149 @@ class Network:
             self.p[k] = np.frombuffer(raw, np.float32, x.size, at).reshape(x.shape).copy()
             at += 4 * x.size
 
+    def forward(self, h: np.ndarray, ids: np.ndarray, keep: np.ndarray | None = None):
+        """The state before ``ids`` (time, streams) and after each, the gates with the candidate (time, 3, streams, units) and the candidate's own part."""
+        u, (n, lanes), state = UNITS, ids.shape, self.p["state"]
+        own = state.reshape(u, 3, u).transpose(1, 0, 2).copy()
+        own[:2] *= 0.5  # a sigmoid is a hyperbolic tangent of half its argument
+        parts = ids[:, None] * 3 + np.arange(3)[:, None]
+        gates = np.take(self.p["input"].reshape(-1, u), parts, axis=0)
+        gates[:, :2] *= 0.5
+        states, linear = np.empty((n + 1, lanes, u), state.dtype), np.empty((n, lanes, u), state.dtype)
+        states[0] = h
+        product = np.empty((3, lanes, u), state.dtype)
+        for t in range(n):
+            h, z_r, new, after = states[t], gates[t, :2], gates[t, 2], states[t + 1]
+            if keep is not None:
+                h = h * keep[t][:, None]
+            np.matmul(h, own[:2], out=product[:2])
+            np.matmul(h, own[2], out=linear[t])
+            z_r += product[:2]
+            np.tanh(z_r, out=z_r)
+            z_r *= 0.5
+            z_r += 0.5
+            np.multiply(linear[t], z_r[1], out=product[2])
+            new += product[2]
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=after)
+            after *= z_r[0]
+            after += new
+        return states, gates, linear
+
     def step(self, h: np.ndarray, ids: np.ndarray):
-        u = UNITS
-        given, own = self.p["input"][ids], h @ self.p["state"]
-        gates = sigmoid(given[:, : 2 * u] + own[:, : 2 * u])
-        z, r = gates[:, :u], gates[:, u:]
-        n = np.tanh(given[:, 2 * u :] + r * own[:, 2 * u :])
-        return n + z * (h - n), z, r, n, own[:, 2 * u :]
+        """The state after one number each, alone in a tuple."""
+        return (self.forward(h, ids[None])[0][-1],)
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(class) P(number in class)."""
-        own = targets // PER_CLASS
-        out = log_chosen(h @ self.p["cls"] + self.p["cls_b"], own)
-        order = np.argsort(own, kind="stable")
-        classes, first = np.unique(own[order], return_index=True)
-        for k, a, b in zip(classes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=False):
-            rows = order[a:b]
-            out[rows] += log_chosen(h[rows] @ self.p["word"][k] + self.p["word_b"][k], targets[rows] - k * PER_CLASS)
+        out = np.empty(len(h))
+        for start in range(0, len(h), BLOCK):
+            flat, goal = h[start : start + BLOCK], targets[start : start + BLOCK]
+            own = goal // PER_CLASS
+            _, sums, at = exponentials(lambda: self.classes(flat), own)  # noqa: B023
+            found, totals = at.astype(np.float64), sums.astype(np.float64)
+            order, classes, first, counts = ordered(own, len(self.p["cls_b"]))
+            flat, place, own = flat[order], (goal - own * PER_CLASS)[order], own[order]
+            _, sums, at = exponentials(lambda: self.words(flat, own, classes, first, counts), place)  # noqa: B023
+            found[order] += at
+            totals[order] *= sums
+            out[start : start + BLOCK] = found - np.log(totals)
         return out
 
-    def gradients(self, h: np.ndarray, ids: np.ndarray, targets: np.ndarray, keep: np.ndarray, weight: np.ndarray):
-        """Gradients of a window (time, streams), the numbers whose inputs' gradients those are, and the state after it; ``keep`` is 0 where a document starts, ``weight`` 0 where nothing is learnt."""
+    def classes(self, flat: np.ndarray) -> np.ndarray:
+        """The logits of the classes."""
+        x = flat @ self.p["cls"]
+        x += self.p["cls_b"]
+        return x
+
+    def words(self, flat: np.ndarray, own: np.ndarray, classes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The logits within their classes of states sorted by class."""
+        word, x = self.p["word"], np.empty((len(flat), PER_CLASS), self.p["word"].dtype)
+        for k, a, n in zip(classes.tolist(), first.tolist(), counts.tolist(), strict=True):
+            np.matmul(flat[a : a + n], word[k], out=x[a : a + n])
+        x += self.p["word_b"][own]
+        return x
+
+    def gradients(self, h: np.ndarray, ids: np.ndarray, targets: np.ndarray, keep: np.ndarray | None, weight: np.ndarray):
+        """Gradients of a window (time, streams), the numbers whose inputs' gradients those are, and the state after it; ``keep`` is 0 where a document starts (None: it never is), ``weight`` 0 where nothing is learnt."""
         u, p = UNITS, self.p
-        before, kept, states = [], [], []
-        for t in range(len(ids)):
-            h = h * keep[t][:, None]
-            before.append(h)
-            h, *gates = self.step(h, ids[t])
-            kept.append(gates)
-            states.append(h)
-        flat, goal, w = np.concatenate(states), targets.ravel(), weight.ravel()[:, None] / max(1.0, float(weight.sum()))
+        states, gates, linear = self.forward(h, ids, keep)
+        before, after = states[:-1] if keep is None else states[:-1] * keep[:, :, None], states[1:]
+        kind, every = states.dtype, after.reshape(-1, u)
+        # only states that something is learnt from reach the output layers
+        real = np.flatnonzero(weight)
+        whole = len(real) == len(every)
+        flat, goal = (every, targets.ravel()) if whole else (every[real], targets.ravel()[real])
+        w = (weight.ravel()[real] / max(1.0, float(weight.sum()))).astype(kind)
         own = goal // PER_CLASS
-        g = {k: np.zeros_like(v) for k, v in p.items() if k != "input"}
-        error = np.exp(log_softmax(flat @ p["cls"] + p["cls_b"]))
-        error[np.arange(len(flat)), own] -= 1
-        error *= w
-        g["cls"], g["cls_b"] = flat.T @ error, error.sum(0)
+        order, classes, first, counts = ordered(own, len(p["cls_b"]))
+        flat, own, goal, w = flat[order], own[order], goal[order], w[order]
+        rows, ones, g = np.arange(len(flat)), np.ones(len(flat), kind), {"word": np.empty_like(p["word"]), "word_b": np.empty_like(p["word_b"])}
+        if len(classes) < len(p["cls_b"]):
+            unread = np.setdiff1d(np.arange(len(p["cls_b"])), classes, assume_unique=True)
+            g["word"][unread], g["word_b"][unread] = 0, 0
+
+        def errors(logits: Callable[[], np.ndarray], chosen: np.ndarray) -> np.ndarray:
+            x, sums, _ = exponentials(logits, chosen)
+            x *= (w / sums)[:, None]
+            x[rows, chosen] -= w
+            return x
+
+        error = errors(lambda: self.classes(flat), own)
+        g["cls"], g["cls_b"] = flat.T @ error, ones @ error
         back = error @ p["cls"].T
-        order = np.argsort(own, kind="stable")
-        order = order[w[order, 0] > 0]
-        classes, first = np.unique(own[order], return_index=True)
-        for k, a, b in zip(classes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=False):
-            rows = order[a:b]
-            error = np.exp(log_softmax(flat[rows] @ p["word"][k] + p["word_b"][k]))
-            error[np.arange(len(rows)), goal[rows] - k * PER_CLASS] -= 1
-            error *= w[rows]
-            g["word"][k], g["word_b"][k] = flat[rows].T @ error, error.sum(0)
-            back[rows] += error @ p["word"][k].T
-        back = back.reshape(len(ids), -1, u)
-        carried, gates = np.zeros_like(h), np.empty((*ids.shape, 3 * u), h.dtype)
+        error = errors(lambda: self.words(flat, own, classes, first, counts), goal - own * PER_CLASS)
+        product = np.empty_like(back)
+        for k, a, n in zip(classes.tolist(), first.tolist(), counts.tolist(), strict=True):
+            e = error[a : a + n]
+            np.matmul(flat[a : a + n].T, e, out=g["word"][k])
+            np.matmul(ones[:n], e, out=g["word_b"][k])
+            np.matmul(e, p["word"][k].T, out=product[a : a + n])
+        back += product
+        down = np.empty_like(every) if whole else np.zeros_like(every)
+        down[order if whole else real[order]] = back
+        down = down.reshape(after.shape)
+        # the factors of dz, dn and dr for all times, then the chain of states
+        z, r, new = gates[:, 0], gates[:, 1], gates[:, 2]
+        by_z, by_n, by_r = before - new, 1 - z, 1 - r
+        by_z *= z
+        by_z *= by_n
+        by_n *= 1 - new * new
+        by_r *= r
+        by_r *= linear
+        # columns: dn * r, dz, dr, dn
+        parts = np.empty((*ids.shape, 4 * u), kind)
+        turned = np.concatenate([p["state"][:, 2 * u :], p["state"][:, : 2 * u]], 1).T.copy()
+        carried, dn = np.zeros(h.shape, kind), np.empty(h.shape, kind)
         for t in range(len(ids) - 1, -1, -1):
-            z, r, n, linear = kept[t]
-            d = back[t] + carried
-            dz, dn = d * (before[t] - n) * z * (1 - z), d * (1 - z) * (1 - n * n)
-            dr = dn * linear * r * (1 - r)
-            inner = np.concatenate([dz, dr, dn * r], 1)
-            g["state"] += before[t].T @ inner
-            gates[t] = np.concatenate([dz, dr, dn], 1)
-            carried = (d * z + inner @ p["state"].T) * keep[t][:, None]
-        order = np.argsort(ids, axis=None, kind="stable")
-        read, first = np.unique(ids.ravel()[order], return_index=True)
-        g["input"] = np.add.reduceat(gates.reshape(-1, 3 * u)[order], first)
-        return g, read, h
+            d, part = down[t], parts[t]
+            d += carried
+            np.multiply(d, by_n[t], out=dn)
+            np.multiply(dn, r[t], out=part[:, :u])
+            np.multiply(d, by_z[t], out=part[:, u : 2 * u])
+            np.multiply(dn, by_r[t], out=part[:, 2 * u : 3 * u])
+            part[:, 3 * u :] = dn
+            np.matmul(part[:, : 3 * u], turned, out=carried)
+            d *= z[t]
+            carried += d
+            if keep is not None:
+                carried *= keep[t][:, None]
+        parts = parts.reshape(-1, 4 * u)
+        g["state"] = before.reshape(-1, u).T @ parts[:, : 3 * u]
+        g["state"] = np.concatenate([g["state"][:, u:], g["state"][:, :u]], 1)
+        order, read, first, counts = ordered(ids.ravel(), self.start + 1)
+        g["input"] = summed(parts[:, u:], order, first, counts)
+        return g, read, states[-1]
 
     def learn(self, passages: Iterator[tuple[np.ndarray, int]], rate: float = RATE, streams: int = STREAMS) -> int:
         """Adam over windows of passages (numbers, how many of them are read only), ``streams`` side by side; the number of tokens learnt."""
+        # sums of gradients and of their squares, not means: the moments are a tenth and a hundredth of them
         m, v = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}
         n = learnt = 0
         passages = iter(passages)
         while held := sorted(islice(passages, SORTED), key=lambda x: len(x[0])):
-            for first in range(0, len(held), streams):
+            # short and long ones take turns
+            for first in np.random.default_rng(n).permutation(-(-len(held) // streams)) * streams:
                 own = held[first : first + streams]
                 steps = -(-max(len(x) for x, _ in own) // WINDOW) * WINDOW
                 ids, goals = np.full((steps, len(own)), self.start), np.zeros((steps, len(own)), np.int64)
@@ -226,48 +366,65 @@ class Network:
                 for lane, (x, read) in enumerate(own):
                     ids[1 : len(x), lane], goals[: len(x), lane], weight[read : len(x), lane] = x[:-1], x, 1
                 learnt += int(weight.sum())
-                h, keep = np.zeros((len(own), UNITS), np.float32), np.ones((WINDOW, len(own)), np.float32)
+                h = np.zeros((len(own), UNITS), np.float32)
                 for at in range(0, steps, WINDOW):
                     of = slice(at, at + WINDOW)
-                    g, read, h = self.gradients(h, ids[of], goals[of], keep, weight[of])
+                    if not weight[of].any():
+                        h = self.forward(h, ids[of])[0][-1]
+                        continue
+                    g, read, h = self.gradients(h, ids[of], goals[of], None, weight[of])
                     n += 1
                     size = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-                    scale, lr, back = min(1.0, 1.0 / max(size, 1e-9)), rate * min(1.0, n / WARM) / (1 - 0.9**n), 1 / (1 - 0.99**n)
+                    root = float(np.sqrt(1 / (1 - 0.99**n)))
+                    lr, least = rate * min(1.0, n / WARM) / (1 - 0.9**n) / root, 1e-7 / root
                     for k, x in g.items():
-                        x *= scale
+                        if size > 1:
+                            x *= x.dtype.type(1 / size)
                         # moments of inputs move when they are read
-                        rows = read if k == "input" else slice(None)
-                        m[k][rows] += 0.1 * (x - m[k][rows])
-                        v[k][rows] += 0.01 * (x * x - v[k][rows])
-                        self.p[k][rows] -= lr * m[k][rows] / (np.sqrt(v[k][rows] * back) + 1e-8)
+                        mean, power = (m[k][read], v[k][read]) if k == "input" else (m[k], v[k])
+                        mean *= 0.9
+                        mean += x
+                        x *= x
+                        power *= 0.99
+                        power += x
+                        np.sqrt(power, out=x)
+                        x += least
+                        np.divide(mean, x, out=x)
+                        x *= lr
+                        if k == "input":
+                            m[k][read], v[k][read] = mean, power
+                            self.p[k][read] -= x
+                        else:
+                            self.p[k] -= x
         return learnt
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """The natural logarithm of each document's probability, without the tokens' shares of shared numbers."""
         out = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        for first in range(0, len(order), SIDE):
-            own = order[first : first + SIDE]
+        for side in range(0, len(order), SIDE):
+            own = order[side : side + SIDE]
             lengths = np.array([len(docs[i]) for i in own])
-            h = np.zeros((len(own), UNITS), np.float32)
+            first = np.cumsum(lengths) - lengths
+            goals = np.concatenate([docs[i] for i in own])
+            given = np.empty_like(goals)
+            given[1:] = goals[:-1]
+            given[first[lengths > 0]] = self.start
+            h, found = np.zeros((len(own), UNITS), np.float32), np.zeros(len(own))
             for at in range(0, int(lengths[0]), STEPS):
-                live = int((lengths > at).sum())
-                n = min(STEPS, int(lengths[0]) - at)
-                goal = np.full((n, live), -1)
-                given = np.full((n, live), self.start)
-                for j in range(live):
-                    piece = docs[own[j]][at : at + n]
-                    goal[: len(piece), j] = piece
-                    before = docs[own[j]][max(0, at - 1) : at + n - 1]
-                    given[n - len(before) if len(before) == n else (at == 0) : (n if len(before) == n else (at == 0) + len(before)), j] = before
-                h, states = h[:live], np.empty((n, live, UNITS), np.float32)
-                for t in range(n):
-                    h = self.step(h, given[t])[0]
-                    states[t] = h
-                real = goal >= 0
-                found = np.zeros(goal.shape)
-                found[real] = self.log_probs(states[real], goal[real])
-                out[own[:live]] += found.sum(0)
+                live = int(np.searchsorted(-lengths, -at))
+                times = np.arange(at, min(at + STEPS, int(lengths[0])))[:, None]
+                real = times < lengths[:live]
+                places = first[:live] + np.minimum(times, lengths[:live] - 1)
+                states = self.forward(h[:live], given[places])[0]
+                h = states[-1]
+                if real.all():
+                    found[:live] += self.log_probs(states[1:].reshape(-1, UNITS), goals[places].ravel()).reshape(real.shape).sum(0)
+                else:
+                    logs = np.zeros(real.shape)
+                    logs[real] = self.log_probs(states[1:][real], goals[places[real]])
+                    found[:live] += logs.sum(0)
+            out[own] = found
         return out
 
 
@@ -283,7 +440,7 @@ def passages(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
 class Model:
     """The counted tokens that all tasks know, and the network."""
 
-    table: dict[bytes, int]  # token to its place by frequency
+    table: pa.Array  # the tokens by their places, the most frequent one first
     log_counts: np.ndarray  # log10(c + 1) by place
     goals: np.ndarray  # by place: the network's number of the token
     bucket_logs: np.ndarray  # log10 of each shared number's total
@@ -291,17 +448,14 @@ class Model:
     tokens: int
     types: int
 
-    def numbers(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, Counter[bytes]]:
-        """The network's numbers of tokens, their places (-1: not among those known here), and the unknown here."""
-        places = np.fromiter(map(self.table.get, tokens, repeat(-1)), np.int64, len(tokens))
+    def numbers(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The network's numbers of tokens, and their places (-1: not among those known here)."""
+        places = pc.fill_null(pc.index_in(tokens, value_set=self.table), -1).to_numpy().astype(np.int64)
         goals = self.goals[places] if len(self.goals) else np.zeros(len(tokens), np.int64)
-        other = np.flatnonzero(places < 0).tolist()
-        if other:
-            rare = [tokens[i] for i in other]
-            shared, tails = self.network.shared, self.network.tails
-            goals[other] = [shared + bucket(t, tails) for t in rare]
-            return goals, places, Counter(rare)
-        return goals, places, Counter()
+        other = np.flatnonzero(places < 0)
+        shared, tails = self.network.shared, self.network.tails
+        goals[other] = [shared + bucket(t, tails) for t in tokens.take(pa.array(other)).to_pylist()]
+        return goals, places
 
 
 def fit(docs: DataFrame, counted: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> Model:
@@ -316,7 +470,7 @@ def fit(docs: DataFrame, counted: DataFrame, learn: Column, key: str = "doc_id",
         left, floor = left - r.n, r.least
     known = counted.where(F.lit(False) if floor is None else (F.col("c") >= floor) & (F.octet_length("token") <= LONGEST)).collect()
     known.sort(key=lambda r: (-r.c, bytes(r.token)))
-    table = {bytes(r.token): i for i, r in enumerate(known)}
+    table = [bytes(r.token) for r in known]
     heads, tokens, types = min(HEAD, len(known)), sum(r.c for r in powers), sum(r.n for r in powers)
     tails = tails_of(types)
     # the counts of the shared numbers, each token's plus one, and one unknown; head tokens are taken out again
@@ -329,8 +483,8 @@ def fit(docs: DataFrame, counted: DataFrame, learn: Column, key: str = "doc_id",
         totals[bucket(bytes(r.token), tails)] -= r.c + 1
     masses = np.concatenate([np.array([r.c for r in known[:heads]], float), np.zeros(-heads % PER_CLASS), totals])
     network = Network(heads, tails, masses)
-    goals = np.array([i if i < heads else network.shared + bucket(t, tails) for t, i in table.items()], np.int64)
-    model = Model(table, np.log10(np.array([r.c for r in known], float) + 1), goals, np.log10(totals), network, tokens, types)
+    goals = np.array([i if i < heads else network.shared + bucket(t, tails) for i, t in enumerate(table)], np.int64)
+    model = Model(pa.array(table, pa.binary()), np.log10(np.array([r.c for r in known], float) + 1), goals, np.log10(totals), network, tokens, types)
     _train(docs.where(learn), model, text)
     return model
 
@@ -341,14 +495,18 @@ def _train(docs: DataFrame, model: Model, text: str) -> None:
     common.small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
+    narrow = np.dtype(np.uint16 if model.network.start < 1 << 16 else np.uint32)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = held.value
-        for _, texts in common.slices(batches, "__text"):
-            found = [x for t in texts for x in passages(mine.numbers(tokens_of(t))[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in found], pa.int32()), pa.array([x.tobytes() for _, x, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.int32())], names=["round", "numbers", "read"])
+        for batch in gathered(batches):
+            tokens, lengths = split(batch.column(0))
+            found = [x for own in np.split(mine.numbers(tokens)[0], np.cumsum(lengths)[:-1]) for x in passages(own)]
+            columns = [pa.array([r for r, _, _ in found], pa.int32()), pa.array([x.astype(narrow).tobytes() for _, x, _ in found], pa.binary()), pa.array([n for _, _, n in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) for _, x, _ in found], pa.int64())], names=["round", "numbers", "read", "n"])
 
-    learnt = common.materialise(docs.select(F.col(text).alias("__text")).mapInArrow(cut, "round int, numbers binary, read int"), "passages")
-    sizes = {r["round"]: r.n for r in learnt.groupBy("round").agg(F.sum(F.octet_length("numbers") / 4).alias("n")).collect()}
+    learnt = common.materialise(docs.select(F.col(text).alias("__text")).mapInArrow(cut, "round int, numbers binary, read int, n long"), "passages")
+    sizes = {r["round"]: r.n for r in learnt.groupBy("round").agg(F.sum("n").alias("n")).collect()}
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = None, 0
@@ -366,10 +524,11 @@ def _train(docs: DataFrame, model: Model, text: str) -> None:
         sent, rate = spark.sparkContext.broadcast(model.network), RATE * (1 - r / (2 * ROUNDS))
 
         def train(batches: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             own = Network.__new__(Network)
             own.__dict__ |= sent.value.__dict__
             own.p = {k: v.copy() for k, v in sent.value.p.items()}
-            n = own.learn(((np.frombuffer(raw, np.uint32).astype(np.int64), read) for b in batches for raw, read in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), rate)
+            n = own.learn(((np.frombuffer(raw, narrow), read) for b in batches for raw, read in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), rate)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.packed()], pa.binary())], names=["tokens", "params"])
 
@@ -385,44 +544,52 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, key: str = "doc_id"
     spark = docs.sparkSession
     common.small_batches(spark)
     held = spark.sparkContext.broadcast(model)
-    rare = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
     names = ["row", key, "n_tokens", "known", "logs", "model", "rare"]
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
-        """Keys and texts of several slices, so that documents side by side are of like lengths."""
-        keys, texts, size = [], [], 0
-        for batch, own in common.slices(batches, "__text"):
-            more = sum(len(t) for t in own if t)
-            if texts and (len(texts) + len(own) > GATHER or size + more > common.SLICE_CHARS):
-                yield pa.concat_arrays(keys), texts
-                keys, texts, size = [], [], 0
-            keys.append(batch.column(0))
-            texts += own
-            size += more
-        if texts:
-            yield pa.concat_arrays(keys), texts
+    def read(mine: Model, batch: pa.RecordBatch) -> tuple[list, list[np.ndarray], np.ndarray]:
+        """The columns but the first and the network's share of ``model``, the texts' numbers, and the shared numbers' share of ``model``."""
+        n, net = batch.num_rows, mine.network
+        tokens, lengths = split(batch.column(1))
+        goals, places = mine.numbers(tokens)
+        rows, known = np.repeat(np.arange(n), lengths), places >= 0
+        totals = lambda values, of: np.bincount(rows[of], values, n).astype(float)
+        logs, tail = np.zeros(len(places)), goals >= net.shared
+        logs[known] = mine.log_counts[places[known]]
+        # the shares of the shared numbers; a rare token's count is added by the join
+        shares = totals(logs[tail] - mine.bucket_logs[goals[tail] - net.shared], tail)
+        others = pa.table([pa.array(rows[~known]), tokens.filter(pa.array(~known))], ["row", "token"])
+        others = others.group_by(["row", "token"], use_threads=False).aggregate([([], "count_all")]).sort_by("row").combine_chunks()
+        ends = np.searchsorted(others["row"].to_numpy(), np.arange(n + 1))
+        values = [pa.concat_arrays(others[c].chunks).cast(kind) if len(others) else pa.array([], kind) for c, kind in (("token", pa.binary()), ("count_all", pa.int32()))]
+        rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, ["token", "n"]))
+        columns = [batch.column(0), pa.array(lengths), pa.array(np.bincount(rows[known], minlength=n)), pa.array(totals(logs[known], known)), rare]
+        return columns, np.split(goals.astype(np.int32), np.cumsum(lengths)[:-1]), shares
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         mine, at = held.value, TaskContext.get().partitionId() << 33
-        for keys, texts in gathered(batches):
-            numbers, columns = [], ([], [], [], [], [])
-            for t in texts:
-                tokens = tokens_of(t)
-                goals, places, others = mine.numbers(tokens)
-                numbers.append(goals)
-                found = places[places >= 0]
-                logs = mine.log_counts[found]
-                tails = goals[goals >= mine.network.shared] - mine.network.shared
-                known_tails = found >= mine.network.heads
-                columns[0].append(len(tokens))
-                columns[1].append(len(found))
-                columns[2].append(float(logs.sum()))
-                columns[3].append(float(logs[known_tails].sum() - mine.bucket_logs[tails].sum()))
-                columns[4].append([{"token": w, "n": n} for w, n in others.items()])
-            own = np.array(columns[3]) + mine.network.score(numbers) / np.log(10)
-            n = len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), keys, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(own), pa.array(columns[4], rare)], names=names)
-            at += n
+        ready: list[tuple[list, list[np.ndarray], np.ndarray]] = []
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            nonlocal at
+            # long documents of all of them go side by side
+            found = mine.network.score([x for _, numbers, _ in ready for x in numbers]) / np.log(10)
+            for (*columns, rare), numbers, shares in ready:
+                n = len(numbers)
+                own, found = found[:n] + shares, found[n:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), *columns, pa.array(own), rare], names=names)
+                at += n
+            ready.clear()
+
+        size = 0
+        for batch in gathered(batches):
+            ready.append(read(mine, batch))
+            size += sum(map(len, ready[-1][1]))
+            if size > SCORED:
+                yield from scored()
+                size = 0
+        if ready:
+            yield from scored()
 
     kind = docs.schema[key].dataType.simpleString()
     made = docs.select(key, F.col(text).alias("__text")).mapInArrow(run, f"row long, `{key}` {kind}, n_tokens long, known long, logs double, model double, rare array<struct<token:binary,n:int>>")

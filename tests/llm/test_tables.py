@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF, rows
@@ -218,6 +219,39 @@ def test_lm_edges(spark):
     assert (alone.n_known, alone.train_tokens, alone.base_score) == (0, 0, 0.0)
 
 
+def test_tokens_by_arrow():
+    texts = ["", None, "  ", " a", "b ", "A  B\tc\r\n\x0b\x0cd", "À\x1c\x1fÉ c\x85D\u2028E\x00F", "\t", "x" * 70_000, "ſ K İ"]
+    tokens, lengths = lm.split(pa.array(texts))
+    wanted = [lm.tokens_of(t) for t in texts]
+    assert tokens.to_pylist() == [w for ws in wanted for w in ws] and lengths.tolist() == [len(ws) for ws in wanted]
+
+
+def test_windows_without_goals_take_no_step(monkeypatch):
+    """What is only read is passed through the states alone: neither output layers nor a step of Adam are spent on it."""
+    steps, own = [], lm.Network.gradients
+    monkeypatch.setattr(lm.Network, "gradients", lambda self, *a: steps.append(a[-1].sum()) or own(self, *a))
+    net = lm.Network(60)
+    assert net.learn(iter([(np.arange(3 * lm.WINDOW) % 60, lm.WINDOW)] * 4)) == 8 * lm.WINDOW
+    assert steps == [4 * lm.WINDOW] * 2
+
+
+def test_large_logits():
+    """Rows whose exponentials leave the range of 32-bit numbers give the same shares as shifted ones."""
+    x = np.array([[0, 1, 2], [500, 501, 502], [-500, -501, -499]], np.float32)
+    found, sums, at = lm.exponentials(lambda: x.copy(), np.array([0, 2, 1]))
+    wanted = np.exp(x.astype(float) - x.max(1, keepdims=True))
+    assert found / sums[:, None] == pytest.approx(wanted / wanted.sum(1, keepdims=True), rel=1e-5)
+    assert np.exp(at) / sums == pytest.approx(wanted[[0, 1, 2], [0, 2, 1]] / wanted.sum(1), rel=1e-5)
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(5)
+    x, rows = np.concatenate([rng.integers(0, 40, 300), np.full(100, 7)]), rng.standard_normal((400, 6))
+    order, found, first, n = lm.ordered(x, 50)
+    assert found.tolist() == np.unique(x).tolist() and n.sum() == 400
+    assert lm.summed(rows, order, first, n) == pytest.approx(np.array([rows[x == k].sum(0) for k in found]))
+
+
 # ---- WARC ------------------------------------------------------------------------------------------------
 
 
