@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.checks import told
+from tessera.functions.numbers import ten_rounded
 
 
 def published(relations: DataFrame, drop_zero: bool = False) -> DataFrame:
@@ -36,4 +37,4 @@ def predictions(ratings: DataFrame, relations: DataFrame, precision: str = "publ
     sums = each.groupBy("userId", "movieId").agg(F.sum(F.col("weight") * F.col("rating")).alias("num"), F.sum(F.abs("weight")).alias("den"))
     score = F.col("num").cast("double") / F.col("den").cast("double")
     out = sums.where("den <> 0").select("userId", "movieId", score.alias("score"))
-    return out.withColumn("score", F.round("score", 10)) if whole else out
+    return out.withColumn("score", ten_rounded(F.col("score"))) if whole else out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera import schemas
@@ -25,6 +27,30 @@ def _fields(df: DataFrame, separator: str, n: int, what: str) -> tuple[DataFrame
     return split, [F.col("f")[i] for i in range(n)], F.col("value")
 
 
+#: A positive id or count as the sinks write it; it fits 64 bits.
+_WHOLE = "[1-9][0-9]{0,17}"
+
+
+def _split(line: Column, n: int, what: str) -> Column:
+    fine = checks.checked(F.size(F.split(line, "[,\t]", -1)) == n, line, "string", checks.told(f"{what} must have {n} fields", line))
+    return F.split(fine, "[,\t]", -1)
+
+
+def _keyed(texts: DataFrame, plain: str, kinds: dict[str, str], strict: Callable[[Column], Column]) -> DataFrame:
+    """The columns ``kinds`` and the ``line`` of lines ``a,b<TAB>value,...``: cast where the values match ``plain``, the way the sinks write them, and what ``strict`` makes of the other lines, a struct.
+
+    One match decides over a line, instead of one or two for each field. The rules for other lines stay out of the generated
+    code: higher-order functions are interpreted.
+    """
+    line = F.col("value")
+    fields = F.when(line.rlike(rf"^{_WHOLE},{_WHOLE}\t{plain}\z"), F.split(line, ",", -1))
+    rows = texts.select(fields.alias("f"), line.alias("line"))
+    rows = rows.select("f", F.when(F.col("f").isNull(), F.transform(F.array("line"), strict)[0]).alias("s"), "line")
+    f = F.col("f")
+    parts = [f[0], F.substring_index(f[1], "\t", 1), F.substring_index(f[1], "\t", -1), *[f[i] for i in range(2, len(kinds) - 1)]]
+    return rows.select(*[F.when(f.isNotNull(), part.cast(kind)).otherwise(F.col("s")[name]).alias(name) for part, (name, kind) in zip(parts, kinds.items(), strict=True)], "line")
+
+
 def ratings(spark: SparkSession, path: str, header: str = "anywhere") -> DataFrame:
     """Normalized ratings, each row checked; the exact header line is skipped ``anywhere``, or ``first``: must be the first line of each file and occurs there alone."""
     rows = lines(spark, path)
@@ -129,23 +155,32 @@ def pair_stats(spark: SparkSession, path: str) -> DataFrame:
 
 def pair_stats_of(texts: DataFrame) -> DataFrame:
     """``pair_stats`` of lines (value)."""
-    split, f, line = _fields(texts, "[,\t]", 6, "pair statistics")
-    shaped = F.col("value").rlike(r"^[^,\t]*,[^,\t]*\t[^,\t]*,[^,\t]*,[^,\t]*,[^,\t]*$")
-    i, j = checks.positive_id(f[0], "movieI", line), checks.positive_id(f[1], "movieJ", line)
-    names = schemas.PAIR_STATS.names[2:]
-    rows = split.where(checks.checked(shaped, F.lit(True), "boolean", checks.told("pair statistics are malformed", line)))
-    rows = rows.select(i.alias("movieI"), j.alias("movieJ"), *[checks.count_text(f[k + 2], n, line).alias(n) for k, n in enumerate(names)], line.alias("line"))
+    names = schemas.PAIR_STATS.names
+
+    def strict(line: Column) -> Column:
+        f = _split(line, 6, "pair statistics")
+        shaped = line.rlike(r"^[^,\t]*,[^,\t]*\t[^,\t]*,[^,\t]*,[^,\t]*,[^,\t]*$")
+        i = checks.checked(shaped, checks.positive_id(f[0], "movieI", line), "long", checks.told("pair statistics are malformed", line))
+        return F.struct(i.alias("movieI"), checks.positive_id(f[1], "movieJ", line).alias("movieJ"), *[checks.count_text(f[k], names[k], line).alias(names[k]) for k in range(2, 6)])
+
+    rows = _keyed(texts, ",".join([_WHOLE] * 4), {n: "long" for n in names}, strict)
     fine = checks.checked(F.col("movieI") < F.col("movieJ"), F.col("movieI"), "long", checks.told("a pair must be in order", F.col("line")))
     return rows.withColumn("movieI", fine).drop("line")
 
 
 def similarity(spark: SparkSession, path: str) -> DataFrame:
     """D6 lines ``source,neighbour<TAB>similarity,commonUsers``, similarity in (0, 1]; ``sim10`` is ready for scoring."""
-    split, f, line = _fields(lines(spark, path), "[,\t]", 4, "a similarity")
-    rows = split.select(
-        checks.positive_id(f[0], "sourceId", line).alias("sourceId"), checks.positive_id(f[1], "neighborId", line).alias("neighborId"),
-        checks.unit_text(f[2], "similarity", line, 0.0, 1.0, above=True).alias("similarity"), checks.count_text(f[3], "commonUsers", line).alias("commonUsers"), line.alias("line"),
-    )
+
+    def strict(line: Column) -> Column:
+        f = _split(line, 4, "a similarity")
+        return F.struct(
+            checks.positive_id(f[0], "sourceId", line).alias("sourceId"), checks.positive_id(f[1], "neighborId", line).alias("neighborId"),
+            checks.unit_text(f[2], "similarity", line, 0.0, 1.0, above=True).alias("similarity"), checks.count_text(f[3], "commonUsers", line).alias("commonUsers"),
+        )
+
+    # 1, or below it with a digit that is not zero
+    unit = rf"(?:1\.0{{1,15}}|0\.(?=0*[1-9])[0-9]{{1,15}}),{_WHOLE}"
+    rows = _keyed(lines(spark, path), unit, {"sourceId": "long", "neighborId": "long", "similarity": "double", "commonUsers": "long"}, strict)
     own = checks.checked(F.col("sourceId") != F.col("neighborId"), F.col("sourceId"), "long", checks.told("a movie can't be its own neighbour", F.col("line")))
     return rows.withColumns({"sourceId": own, "sim10": numbers.ten_decimals(F.col("similarity"))}).drop("line")
 
@@ -157,10 +192,14 @@ def predictions(spark: SparkSession, path: str, low: float | None = 1.0, high: f
 
 def prediction_rows(texts: DataFrame, low: float | None = 1.0, high: float | None = 5.0) -> DataFrame:
     """The rows of prediction lines (value), repeated ones too."""
-    split, f, line = _fields(texts, "[,\t]", 3, "a prediction")
-    return split.select(
-        checks.positive_id(f[0], "userId", line).alias("userId"), checks.positive_id(f[1], "movieId", line).alias("movieId"), checks.unit_text(f[2], "score", line, low, high).alias("score")
-    )
+
+    def strict(line: Column) -> Column:
+        f = _split(line, 3, "a prediction")
+        return F.struct(checks.positive_id(f[0], "userId", line).alias("userId"), checks.positive_id(f[1], "movieId", line).alias("movieId"), checks.unit_text(f[2], "score", line, low, high).alias("score"))
+
+    rows = _keyed(texts, r"[0-9]{1,4}\.[0-9]{1,10}", {"userId": "long", "movieId": "long", "score": "double"}, strict)
+    within = (F.lit(True) if low is None else F.col("score") >= low) & (F.lit(True) if high is None else F.col("score") <= high)
+    return rows.withColumn("score", checks.checked(within, F.col("score"), "double", checks.told("score is out of range", F.col("line")))).drop("line")
 
 
 def one_prediction(rows: DataFrame, identical: str = "ignore") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera import schemas
 from tessera.functions.numbers import ten_text
@@ -23,16 +23,23 @@ def csv_lines(ratings: DataFrame) -> DataFrame:
     return ratings.select(F.concat_ws(",", *[F.col(c).cast("string") for c in schemas.RATINGS_HEADER.split(",")]).alias("value"))
 
 
+def _keyed(rows: DataFrame, *values: Column) -> DataFrame:
+    """(value): ``a,b<TAB>value,...`` of the first two columns and the texts of the values."""
+    a, b = [F.col(c).cast("string") for c in rows.columns[:2]]
+    parts = [a, F.lit(","), b, F.lit("\t"), *[x for v in values for x in (v, F.lit(","))][:-1]]
+    return rows.select(F.concat(*[F.coalesce(p, F.lit("null")) for p in parts]).alias("value"))
+
+
 def pair_lines(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.format_string("%d,%d\t%d,%d,%d,%d", *[F.col(c) for c in schemas.PAIR_STATS.names]).alias("value"))
+    return _keyed(pairs.select(*schemas.PAIR_STATS.names), *[F.col(c).cast("string") for c in schemas.PAIR_STATS.names[2:]])
 
 
 def similarity_lines(relations: DataFrame) -> DataFrame:
-    return relations.select(F.format_string("%d,%d\t%.10f,%d", "sourceId", "neighborId", "similarity", "commonUsers").alias("value"))
+    return _keyed(relations.select("sourceId", "neighborId", "similarity", "commonUsers"), ten_text(F.col("similarity")), F.col("commonUsers").cast("string"))
 
 
 def prediction_lines(predicted: DataFrame) -> DataFrame:
-    return predicted.select(F.format_string("%d,%d\t%.10f", "userId", "movieId", "score").alias("value"))
+    return _keyed(predicted.select("userId", "movieId", "score"), ten_text(F.col("score")))
 
 
 def recommendation_lines(recommended: DataFrame) -> DataFrame:
@@ -42,9 +49,10 @@ def recommendation_lines(recommended: DataFrame) -> DataFrame:
     return recommended.groupBy("userId").agg(text.alias("text")).select("userId", F.concat_ws("\t", F.col("userId").cast("string"), "text").alias("value"))
 
 
-def write_text(lines: DataFrame, path: str, one_file: bool = False, compressed: bool = False) -> None:
-    """The column ``value`` as text; ``one_file`` merges the parts, ``compressed`` writes them with gzip."""
-    (lines.select("value").coalesce(1) if one_file else lines.select("value")).write.mode("errorifexists").option("compression", "gzip" if compressed else "none").text(path)
+def write_text(lines: DataFrame, path: str, one_file: bool = False, compressed: bool = False, quick: bool = False) -> None:
+    """The column ``value`` as text; ``one_file`` merges the parts, ``compressed`` writes them with gzip, ``quick`` at its fastest level."""
+    texts = (lines.select("value").coalesce(1) if one_file else lines.select("value")).write.mode("errorifexists").option("compression", "gzip" if compressed else "none")
+    (texts.option("zlib.compress.level", "BEST_SPEED") if quick else texts).text(path)
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str], one_file: bool = False) -> None:
